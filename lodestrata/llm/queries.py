@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .common import ship, table
+from . import audio, bpe, mixing, rules, sharding, simhash
+from .common import table
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,9 +17,45 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *base, "base_failed", "kept", "quality")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(sharding.measured(docs).drop("text"), 24)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_sharding": op5_sharding}
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(VOCABULARY)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(ids, path).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = audio.store(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    keys = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    found = audio.audio_features(keys, tensors=False, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_simhash": op2_simhash,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_sharding": op5_sharding,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op8_media": op8_media,
+}
