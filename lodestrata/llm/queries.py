@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, mixing, rules, sharding, simhash
+from . import audio, bpe, lines, mixing, pii, rules, sharding, simhash
 from .common import table
 
+#: For the registered query only; a production run passes its own secret.
+PII_KEY = "registered-query"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -27,6 +29,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *base, "base_failed", "kept", "quality")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.anonymize(docs, PII_KEY).select("doc_id", "text", "n_entities", F.to_json("entities").alias("entities"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.shard(sharding.measured(docs).drop("text"), 24)
@@ -51,11 +58,18 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op4_pii": op4_pii,
     "op5_sharding": op5_sharding,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_media": op8_media,
+    "op9_lines": op9_lines,
 }
