@@ -9,7 +9,7 @@ the rest is the next state. The rest stays below twice the longest token: that i
 This is exact because a stretch of a valid BPE encoding is itself the encoding of its bytes.
 
 Each match of the split pattern is encoded by itself. Matches seen before are answered from a
-bounded cache of two generations; transitions are dropped and rebuilt beyond a bound as well.
+bounded cache of two generations, and so are transitions; what falls out is built again when it is needed.
 
 Decoding is a stream: ids are turned to bytes chunk by chunk and an incremental UTF-8 machine, whose state is
 the begun character (at most three bytes), emits whole characters. What can't become a character turns into U+FFFD.
@@ -29,10 +29,9 @@ from pyspark.sql import types as T
 
 from .arrow import flat_map
 
-PIECES_HELD = 200_000
-STEPS_HELD = 500_000
-#: Longer matches aren't cached.
-PIECE_CHARS = 64
+#: Entries of a generation of the cached matches and of the transitions; two generations are held of each.
+PIECES_HELD = 100_000
+STEPS_HELD = 100_000
 CHUNK = 4096
 
 
@@ -46,105 +45,99 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
 
 
+class _Generations(dict):
+    """A bounded cache: what the present generation lacks is taken from the one before, else made anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.before = make, {}
+
+    def __missing__(self, key):
+        found = self.before.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def trim(self, most: int) -> None:
+        if len(self) > most:
+            self.before = dict(self)
+            self.clear()
+
+
 class Transducer:
-    """Emits the ids of one match's bytes, as little-endian unsigned 32-bit integers."""
+    """Emits the ids of one match's bytes, as little-endian unsigned 32-bit integers.
+
+    A state is named by its bytes; a transition is kept under the state's bytes and the byte read.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.code = {t: r.to_bytes(4, "little") for t, r in ranks.items()}
         self.begun = {t[:k] for t in ranks for k in range(1, len(t))}
-        self._reset()
-
-    def _reset(self) -> None:
-        self.pending, self.number, self.last = [b""], {b"": 0}, [b""]
-        self.steps: dict[int, tuple[bytes, int]] = {}
-        self.known: dict[bytes, tuple[bytes, ...]] = {}
+        self.steps, self.ends = _Generations(self._step), _Generations(self._codes)
 
-    def merged(self, data: bytes) -> tuple[bytes, ...]:
+    def merged(self, data: bytes) -> list[bytes]:
         """The tokens of a short string by its merges, lowest rank first, leftmost first."""
-        found = self.known.get(data)
-        if found is None:
-            parts, none = [data[k : k + 1] for k in range(len(data))], 1 << 40
-            rank = self.ranks.get
-            pairs = [rank(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-            while pairs and (best := min(pairs)) < none:
-                k = pairs.index(best)
-                parts[k : k + 2] = [parts[k] + parts[k + 1]]
-                del pairs[k]
-                if k < len(pairs):
-                    pairs[k] = rank(parts[k] + parts[k + 1], none)
-                if k:
-                    pairs[k - 1] = rank(parts[k - 1] + parts[k], none)
-            found = self.known[data] = tuple(parts)
-        return found
-
-    def _state(self, pending: bytes) -> int:
-        found = self.number.get(pending)
-        if found is None:
-            found = self.number[pending] = len(self.pending)
-            self.pending.append(pending)
-            self.last.append(b"".join(self.code[t] for t in self.merged(pending)))
-        return found
-
-    def _step(self, state: int, byte: int) -> tuple[bytes, int]:
-        grown = self.pending[state] + bytes((byte,))
-        certain = None
-        if grown not in self.begun:
-            certain = self.merged(grown)
-            for cut in range(1, len(grown)):
-                if grown[cut:] in self.begun:
-                    other = self.merged(grown[:cut])
-                    same = 0
-                    while same < min(len(other), len(certain)) and other[same] == certain[same]:
-                        same += 1
-                    certain = certain[:same]
-                    if not certain:
+        if data in self.ranks:  # a token's own merges always lead to it
+            return [data]
+        parts, none, rank = [data[k : k + 1] for k in range(len(data))], 1 << 40, self.ranks.get
+        pairs = [rank(data[k : k + 2], none) for k in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) < none:
+            k = pairs.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = rank(parts[k] + parts[k + 1], none)
+            if k:
+                pairs[k - 1] = rank(parts[k - 1] + parts[k], none)
+        return parts
+
+    def _codes(self, data: bytes) -> bytes:
+        return b"".join([self.code[t] for t in self.merged(data)])
+
+    def _step(self, grown: bytes) -> tuple[bytes, bytes]:
+        """What is certain once ``grown`` has been read, and the rest."""
+        if grown in self.begun:
+            return b"", grown
+        certain = self.merged(grown)
+        for cut in range(1, len(grown)):
+            if grown[cut:] in self.begun:
+                same = 0
+                for mine, other in zip(certain, self.merged(grown[:cut]), strict=False):
+                    if mine != other:
                         break
-        certain = certain or ()
-        rest = grown[sum(map(len, certain)) :]
-        step = (b"".join(self.code[t] for t in certain), self._state(rest))
-        self.steps[state << 8 | byte] = step
-        return step
+                    same += 1
+                certain = certain[:same]
+                if not certain:
+                    return b"", grown
+        return b"".join([self.code[t] for t in certain]), grown[sum(map(len, certain)) :]
 
     def run(self, data: bytes) -> bytes:
-        if len(self.steps) > STEPS_HELD:
-            self._reset()
-        out, state, steps = [], 0, self.steps
-        for byte in data:
-            step = steps.get(state << 8 | byte) or self._step(state, byte)
-            if step[0]:
-                out.append(step[0])
-            state = step[1]
-        out.append(self.last[state])
+        if data in self.code:
+            return self.code[data]
+        out, rest, steps = [], b"", self.steps
+        for k in range(len(data)):
+            emitted, rest = steps[rest + data[k : k + 1]]
+            if emitted:
+                out.append(emitted)
+        out.append(self.ends[rest])
         return b"".join(out)
 
-
-class _Pieces(dict):
-    """Match -> its ids; the generation before is asked before the transducer."""
-
-    def __init__(self, run, old=()):
-        super().__init__()
-        self.run, self.old = run, old
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece) if self.old else None
-        if ids is None:
-            ids = self.run(piece.encode("utf-8", "surrogatepass"))
-        if len(piece) <= PIECE_CHARS:
-            self[piece] = ids
-        return ids
+    def trim(self) -> None:
+        self.steps.trim(STEPS_HELD)
+        self.ends.trim(STEPS_HELD)
 
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.split = regex.compile(pattern).findall
         self.transducer = Transducer(ranks)
-        self.pieces = _Pieces(self.transducer.run)
+        self.pieces = _Generations(lambda piece: self.transducer.run(piece.encode("utf-8", "surrogatepass")))
 
     def encode(self, text: str) -> bytes:
-        if len(self.pieces) > PIECES_HELD:
-            self.pieces.old = ()
-            self.pieces = _Pieces(self.transducer.run, self.pieces)
+        self.pieces.trim(PIECES_HELD)
+        self.transducer.trim()
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
 
