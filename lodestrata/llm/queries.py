@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, lines, mixing, pii, rules, sharding, simhash
+from . import audio, bpe, licenses, lines, mixing, pii, rules, sharding, simhash
 from .common import table
 
 #: For the registered query only; a production run passes its own secret.
@@ -63,6 +63,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -72,4 +76,5 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_media": op8_media,
     "op9_lines": op9_lines,
+    "op10_licenses": op10_licenses,
 }
