@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, licenses, lines, mixing, pii, rules, sharding, simhash
+from . import audio, bpe, licenses, lines, mixing, pii, quality, rules, sharding, simhash
 from .common import table
 
 #: For the registered query only; a production run passes its own secret.
@@ -39,6 +39,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(sharding.measured(docs).drop("text"), 24)
 
 
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
     "op5_sharding": op5_sharding,
+    "op6_cotraining": op6_cotraining,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_media": op8_media,
     "op9_lines": op9_lines,

@@ -120,11 +120,11 @@ def links(points: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns ``keep``, ``fp`` and ``component_id``: the least key of all reachable over links, itself included."""
+    """``key``, the columns ``keep``, ``fp``, ``root`` (the component's least fingerprint) and ``component_id``: the least key of all reachable over links, itself included."""
     marked = materialize(fingerprints(docs, text, (key, *keep)))
     points = materialize(marked.groupBy("fp").agg(F.min(key).alias("_first")))
     roots = components(links(points.select("fp")))
     grouped = points.join(roots, points["fp"] == roots["node"], "left").select(points["fp"], "_first", F.coalesce("root", points["fp"]).alias("root"))
     grouped = materialize(grouped)
     lowest = grouped.groupBy("root").agg(F.min("_first").alias("component_id"))
-    return marked.join(grouped.join(lowest, "root").select("fp", "component_id"), "fp")
+    return marked.join(grouped.join(lowest, "root").select("fp", "root", "component_id"), "fp")
