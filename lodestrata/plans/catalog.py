@@ -1,10 +1,15 @@
-"""Registry of named queries over the driver tables and their DuckDB oracles."""
+"""All queries of the reference's operators and their oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import warehouse  # noqa: F401
+from .registry import ORACLES, QUERIES
 
-def flagship(spark, sf_dir):
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peer z-scores of every property metric."""
     return QUERIES["agg11_peer_zscore"](spark, sf_dir)
