@@ -60,10 +60,13 @@ def cube_cap(spark, d):
     return rounded(s.cap_rate_cube(src.sales(spark, d)), *_RC)
 
 
-@query("cube_pricing", """select market, building_class, sale_year, granularity, n_deals, round(total_volume, 2) as total_volume, round(median_price, 6) as median_price, round(median_ppu, 6) as median_ppu, round(p25_ppu, 6) as p25_ppu,
- round(p75_ppu, 6) as p75_ppu, round(mean_ppu, 6) as mean_ppu from pricing""")
+_P = ("median_price", "median_ppu", "p25_ppu", "p75_ppu", "mean_ppu")
+
+
+@query("cube_pricing", "select market, building_class, sale_year, granularity, n_deals, round(total_volume, 2) as total_volume, " + ", ".join(f"round({c} + 1e-9, 6) as {c}" for c in _P) + " from pricing")
 def cube_pricing(spark, d):
-    return rounded(rounded(s.pricing_cube(src.sales(spark, d)), "median_price", "median_ppu", "p25_ppu", "p75_ppu", "mean_ppu"), "total_volume", places=2)
+    """The billionth keeps interpolated halves from rounding either way."""
+    return rounded(s.pricing_cube(src.sales(spark, d)).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in _P}), "total_volume", places=2)
 
 
 @query("flt08_cap_rate_trend_market", f"select period, asset_class, n_deals, {_R} from caprate where period_type = 'year' and market = 'NATION_5' and granularity = 'market'")
