@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     chosen = y.join(ids.distinct(), key, "left_semi").orderBy(order, key).limit(labelled)
     free = ids.join(y, key, "left_anti").distinct().orderBy(order, key).limit(pool).withColumn("_y", F.lit(None).cast("int"))
     sample = F.broadcast(chosen.unionByName(free))  # at most ``labelled`` + ``pool`` rows of two numbers
-    seen = _vectors(rows.join(sample, key)).orderBy("_y", "_a", "_b").collect()
+    seen = sorted(_vectors(rows.join(sample, key)).collect(), key=lambda r: (r["_y"] is None, r["_y"], bytes(r["_a"]), bytes(r["_b"])))
     view = lambda part, c: np.stack([np.frombuffer(r[c], np.float32) for r in part]) if part else np.zeros((0, META if c == "_b" else _PLAIN + PAIRS), np.float32)
     known, unknown = [r for r in seen if r["_y"] is not None], [r for r in seen if r["_y"] is None]
     target = np.array([float(r["_y"] > 0) for r in known])
