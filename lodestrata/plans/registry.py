@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,7 +17,12 @@ def query(name: str, oracle: str | None = None):
     """Register a function of (spark, sf_dir); ``oracle`` may use the tables of ``lodestrata.plans.ctes``."""
 
     def add(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if oracle is not None:
             from .ctes import with_tables
 

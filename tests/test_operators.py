@@ -179,6 +179,7 @@ def test_text_functions(spark):
     assert t(tx.garbled_dollars, "$3000,.00000") == 3_000_000 and t(tx.garbled_dollars, "$1,234.56") == 1234.56
     assert t(tx.percentage, "72.6%") == 72.6 and t(tx.percentage, "5 1/2%") == 5.5 and t(tx.percentage, "525%", True) == 5.25
     assert t(tx.number, "(1,234.00)") == -1234.0 and t(tx.number, "n/a") is None
+    assert t(tx.clean_pdf, "iA dayof theLoan ofthe 2n d part") == "1st day of the Loan of the 2nd part"
     assert one(spark, tx.loan_term(F.lit(25))) == "2 years, 1 month"
     assert t(tx.normal_name, "The Oaks at Main, LLC") == "oaks main"
     assert t(tx.snippet, "aaa Needle bbb", "needle") == "aaa <mark>Needle</mark> bbb"
