@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +11,6 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_ROOT = Path(__file__).resolve().parents[2]
-
-
 def word_count(text: Column) -> Column:
     """Number of words of ``text``; null counts as no word."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -60,19 +54,6 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that don't see it already."""
-    seen = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    if any(p and Path(p).resolve() == _ROOT for p in seen) or getattr(spark.sparkContext, "_lodestrata_shipped", False):
-        return
-    base = Path(tempfile.mkdtemp(prefix="lodestrata-ship-"))
-    package = __name__.split(".")[0]
-    stage = base / "stage"
-    shutil.copytree(_ROOT / package, stage / package, ignore=shutil.ignore_patterns("__pycache__"))
-    spark.sparkContext.addPyFile(shutil.make_archive(str(base / package), "zip", stage))
-    spark.sparkContext._lodestrata_shipped = True
-
-
 def rows_of(df: DataFrame) -> int:
     """Number of rows; for a Parquet scan Spark reads only the footers."""
     return df.count()
