@@ -73,3 +73,15 @@ def test_mapped_columns(spark):
     assert [(r.unit_number, r.monthly_rent, r.tenant) for r in got] == [("1", "100", None), ("2", "90", None)]
     other = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
     assert {r.id for r in extract.cascade(other.filter("id = 1"), other, "id").collect()} == {1, 2}
+
+
+def test_templates(spark):
+    from lodestrata.functions import templates
+
+    assert [len(templates.fields(t)) for t in ("lease", "loan", "closing", "guarantee")] == [22, 24, 13, 8]
+    assert [len(templates.CLAUSE_TYPES[t].split()) for t in ("lease", "loan", "closing", "guarantee")] == [23, 13, 10, 9]
+    assert [len(templates.columns(t)) for t in ("rent_roll", "operating_statement", "general_ledger")] == [9, 5, 9]
+    d = docs(spark, "the tenant ACME HOLDINGS LLC pays a monthly rent of $1,500.00 and a deposit of two thousand dollars")
+    got = {r.term_type: (r.value_raw, r.value_numeric) for r in extract.terms(d, "id", "text", templates.fields("lease")).collect()}
+    assert got["base_rent"][1] == 1500.0 and got["security_deposit"][1] == 2000.0 and got["tenant_name"][0] == "ACME HOLDINGS LLC"
+    assert {r.clause_type for r in extract.clauses(docs(spark, "1. Governing Law. x\n2. Remedies. y\n"), "id", "text", templates.clause_types("guarantee", extract.CLAUSES)).collect()} == {"governing_law", "remedies"}
