@@ -66,12 +66,12 @@ def values(docs: DataFrame, key: str, text: str) -> DataFrame:
     patterns = [(kind, source, confidence, re.compile(p)) for kind, source, confidence, p in VALUES]
 
     def parse(body: str) -> Iterator[tuple]:
-        flat = body.replace("\n", " ")
-        for rank, (kind, source, confidence, pattern) in enumerate(patterns):
-            last = 0
-            for m in pattern.finditer(flat):
-                yield kind, source, rank, m.start(), " ".join(m[0].split()), flat[max(last, m.start() - CONTEXT) : m.start()].lower(), confidence
-                last = m.end()
+        flat, last = body.replace("\n", " "), {}
+        found = [(m.start(), m, k) for k, v in enumerate(patterns) for m in v[3].finditer(flat)]
+        for at, m, rank in sorted(found, key=lambda x: (x[0], x[2])):
+            kind, source, confidence, _ = patterns[rank]
+            yield kind, source, rank, at, " ".join(m[0].split()), flat[max(last.get(kind, 0), at - CONTEXT) : at].lower(), confidence
+            last[kind] = max(last.get(kind, 0), m.end())
 
     return _parsed(docs, key, text, "kind string, source string, rank int, position long, raw string, context string, confidence double", parse)
 
