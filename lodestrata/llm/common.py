@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 
+
 def word_count(text: Column) -> Column:
     """Number of words of ``text``; null counts as no word."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
