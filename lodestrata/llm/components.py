@@ -34,10 +34,8 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Nodes are of any ordered type; self-links, repeated and null ends are ignored.
     """
-    edges = links.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col("u") > F.col("v"))) if (u, v) == ("u", "v") else None
-    if edges is None:
-        return components(links.select(F.col(u).alias("u"), F.col(v).alias("v")))
-    edges = materialize(edges.distinct())
+    pairs = links.select(F.col(u).alias("a"), F.col(v).alias("b")).filter("a is not null and b is not null and a <> b")
+    edges = materialize(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _signature(edges)
     for _ in range(MOST_ROUNDS):
         if not before[0]:
@@ -51,4 +49,5 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         before = after
     else:
         raise RuntimeError("components did not converge")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -75,7 +75,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def hashes(found: list[bytes], cache: dict | None = None) -> np.ndarray:
+def hashes(found: list[bytes]) -> np.ndarray:
     """64-bit hashes of words."""
     crc = zlib.crc32
     return mixed(np.fromiter((crc(w) | crc(w, 0x5BD1E995) << 32 for w in found), np.uint64, len(found)))
