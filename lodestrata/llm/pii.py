@@ -36,8 +36,8 @@ KINDS = {
     "name": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
 }
 PATTERN = "|".join(KINDS.values())
-#: What a text must have for the pattern to match at all.
-HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}|[0-9a-f]{{32}}"
+#: What a text must have for the pattern to match at all: every kind has a part of its own or another's.
+HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}|[0-9a-f]{{32}}|A(?:KIA|SIA)[0-9A-Z]"
 #: Syllables of surrogate names by script, and endings by gender (fixed values).
 SYLLABLES = {"latin": "ba de fi go ka le mi no pa re sa ti va wo zu lan ber cor dal mon", "cyrillic": "ба де ви го ка ле ми но па ре са ти ва зо лу ман бер кор дал мон"}
 ENDINGS = {("latin", "m"): "us en ard on", ("latin", "f"): "a ia ine elle", ("cyrillic", "m"): "ов ин ев ан", ("cyrillic", "f"): "ова ина ева ана"}
