@@ -453,6 +453,30 @@ def test_line_dedup(spark):
     assert lines.dedup_lines(empty(spark)).collect() == []
 
 
+def test_line_dedup_beside_copies(spark):
+    """A template of unrelated documents goes from them even if a large group of copies has it as well; the group's own lines stay."""
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    passage = [f"{text(12)} of a passage" for _ in range(4)]
+    alone = [(k, "\n".join([text(30), *passage, text(30)])) for k in range(9)]
+    body = [text(25) for _ in range(6)]
+    group = []
+    for k in range(120):  # every third copy has a word changed, anywhere
+        ls = list(body)
+        if k % 3 == 0:
+            words = ls[k % 6].split(" ")
+            words[rng.randrange(25)] = f"new{text(1)}"
+            ls[k % 6] = " ".join(words)
+        group.append((1000 + k, "\n".join([*ls, passage[0]])))
+    docs = spark.createDataFrame(alone + group, "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in lines.dedup_lines(docs).collect()}
+    assert got[0] == alone[0][1].split("\n")
+    for k, t in alone[1:]:
+        assert got[k] == [x for x in t.split("\n") if x not in passage]
+    for k, t in group:
+        assert got[k] == t.split("\n")[:-1]
+
+
 def test_line_dedup_leaves_unique_lines(spark, data, docs):
     rows = queries.op9_lines(spark, data).collect()
     assert len(rows) == len(docs)
