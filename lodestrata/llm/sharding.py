@@ -22,10 +22,12 @@ shard, as the law demands); an empty table gives no rows; columns called ``shard
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, power_of_two
+from .common import materialize, power_of_two, shared_folder
 
 LAW = "key"
 SEED = 20_011
@@ -64,7 +66,12 @@ def shard(records: DataFrame, shards: int, key: str = "doc_id", seed: int = SEED
     Write the result with ``write_shards``, or sort by ``slot`` within a shard.
     """
     keep = [c for c in records.columns if c not in _NEW]
-    rows = records.groupBy(*keep, "size", "text_crc32").agg(F.count("*").alias("_m"))
+    # rows are counted by a hash first; with none repeated, no text is shuffled for it
+    hashed = records.select(F.xxhash64(*keep, "size", "text_crc32").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    if hashed.filter("n > 1").isEmpty():
+        rows = records.select(*keep, "size", "text_crc32", F.lit(1).cast("long").alias("_m"))
+    else:
+        rows = records.groupBy(*keep, "size", "text_crc32").agg(F.count("*").alias("_m"))
     rows = materialize(rows.select("*", rendezvous(F.col(key), shards, seed).alias("shard"), rendezvous(F.col(key), shards + 1, seed).alias("grown_shard")))
     full = rows.groupBy("shard").agg(F.sum(F.col("size") * F.col("_m")).alias("b"), F.sum("_m").alias("n")).agg(F.max("b"), F.max("n")).first()
     buckets = power_of_two(max((full[0] or 0) / BUCKET_BYTES, (full[1] or 0) / BUCKET_ROWS))
@@ -85,6 +92,14 @@ def shard(records: DataFrame, shards: int, key: str = "doc_id", seed: int = SEED
     )
 
 
+def stored(placed: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``placed`` records with their texts, written as shards into the shared folder; size and CRC are of the texts as read back."""
+    path = f"{shared_folder(placed.sparkSession)}/shards/{uuid.uuid4().hex}"
+    write_shards(placed, path, shards)
+    back = placed.sparkSession.read.schema(placed.schema).parquet(path)
+    return measured(back, text).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 def write_shards(placed: DataFrame, path: str, shards: int) -> None:
     """One folder a shard, its files in the order of ``slot``."""
     placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

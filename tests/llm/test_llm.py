@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
@@ -279,6 +280,19 @@ def test_sharding(spark, data, docs):
     assert again == {r.doc_id: (r.shard, r.slot) for r in rows}
 
 
+def test_sharding_writes_the_texts(spark, data, docs, tmp_path, monkeypatch):
+    """The query's shards hold the records with their texts, in the order of their slots."""
+    monkeypatch.setattr(sharding, "shared_folder", lambda _: f"file://{tmp_path}")
+    rows = {r.doc_id: (r.shard, r.slot) for r in queries.op5_sharding(spark, data).collect()}
+    (folder,) = (tmp_path / "shards").iterdir()
+    assert len(list(folder.glob("shard=*"))) == len({s for s, _ in rows.values()})
+    written = spark.read.parquet(str(folder)).collect()
+    assert {r.doc_id: (r.text, r.shard, r.slot) for r in written} == {k: (docs[k].text, *rows[k]) for k in docs}
+    for f in folder.glob("shard=*/*.parquet"):
+        slots = pq.ParquetFile(f).read(["slot"])["slot"].to_pylist()
+        assert slots == list(range(len(slots)))
+
+
 def test_sharding_edges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 4)
     df = edges(spark, "slot")
