@@ -27,7 +27,7 @@ def flat_map(df: DataFrame, schema: T.StructType, make: Callable[[], Callable])
             for at in range(0, batch.num_rows, SLICE):
                 for row in work(batch.slice(at, SLICE).to_pydict()):
                     held.append(row)
-                    weight += 64 + sum(len(x) for x in row if isinstance(x, (bytes, str)))
+                    weight += 64 + sum(map(_weight, row))
                     if weight >= FLUSH_BYTES:
                         yield _batch(held, target)
                         held, weight = [], 0
@@ -37,5 +37,13 @@ def flat_map(df: DataFrame, schema: T.StructType, make: Callable[[], Callable])
     return df.mapInArrow(run, schema)
 
 
+def _weight(x) -> int:
+    if isinstance(x, (bytes, str)):
+        return len(x)
+    if isinstance(x, (list, dict)):
+        return sum(map(_weight, x.values() if isinstance(x, dict) else x))
+    return getattr(x, "nbytes", 0)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

@@ -21,11 +21,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import flat_map
+from .arrow import SLICE, flat_map, ship, to_arrow_schema
 
 UNIT = 64
 RATE, UP, DOWN = 16_000, 1, 2
@@ -192,6 +193,34 @@ def audio_features(stored: DataFrame, media: str = "media", tensors: bool = True
     return flat_map(rows, schema, make)
 
 
+def digests(features: DataFrame, keep: tuple[str, ...], rate: int = RATE * UP // DOWN) -> DataFrame:
+    """``keep`` and ``feature``, the digest of the tensors and segments as stored; ``rate`` is that after resampling."""
+    ship(features.sparkSession)
+    schema = T.StructType([*(features.schema[c] for c in keep), T.StructField("feature", T.StringType())])
+    fields = to_arrow_schema(schema)
+
+    def of(tensors: np.ndarray, spans: list[dict], found: list[dict]) -> str:
+        frames = [round((s["end_s"] - s["start_s"]) * rate - FRAME) // HOP + 1 for s in spans]
+        mel = np.concatenate([t[:n] for t, n in zip(tensors, frames, strict=True)])
+        return digest(mel, [(round(s["start_s"] * rate / HOP), round((s["end_s"] * rate - FRAME) / HOP) + 1) for s in found], rate)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                rows = batch.slice(at, SLICE)
+                held = rows.column("blocks")
+                inner, sizes = held.flatten(), pc.list_value_length(held).to_pylist()
+                tensors = as_tensors(inner.field("features")).to_numpy_ndarray()
+                spans = pa.StructArray.from_arrays([inner.field("start_s"), inner.field("end_s")], ["start_s", "end_s"]).to_pylist()
+                out, begin = [], 0
+                for n, found in zip(sizes, rows.column("segments").to_pylist(), strict=True):
+                    out.append(of(tensors[begin : begin + n], spans[begin : begin + n], found))
+                    begin += n
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).cast(fields.field(c).type) for c in keep), pa.array(out, pa.string())], schema=fields)
+
+    return features.select(*keep, "segments", "blocks").mapInArrow(run, schema)
+
+
 def as_tensors(features: pa.Array | pa.ChunkedArray) -> pa.ExtensionArray:
     """Blocks' features (lists of one length) as an Arrow array of fixed-shape tensors."""
     if isinstance(features, pa.ChunkedArray):

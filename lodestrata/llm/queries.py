@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, bpe, licenses, lines, mixing, pii, quality, rules, sharding, simhash
-from .common import table
+from .common import materialize, table
 
 #: For the registered query only; a production run passes its own secret.
 PII_KEY = "registered-query"
@@ -56,10 +56,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = audio.store(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    stored = materialize(audio.store(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     keys = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    found = audio.audio_features(keys, tensors=False, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    keep = ("doc_id", "n_bytes", "media_bytes", "media_sha256")
+    found = materialize(audio.audio_features(keys, keep=keep).drop("feature"))
+    return audio.digests(found, (*keep, "payload_bytes", "payload_sha256", "tail_crc32")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from lodestrata.llm import audio, bpe, components, licenses, lines, mixing, pii, quality, queries, rules, sharding, simhash
+from lodestrata.llm import audio, bpe, common, components, licenses, lines, mixing, pii, quality, queries, rules, sharding, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -420,6 +420,20 @@ def test_media(spark, data, docs):
     assert audio.audio_features(audio.store(empty(spark))).collect() == []
 
 
+def test_media_is_read_back(spark, data, docs, monkeypatch):
+    """The query stores the media and the tensor blocks, and its digests are of what was stored."""
+    kept = []
+    monkeypatch.setattr(queries, "materialize", lambda df: kept.append(common.materialize(df)) or kept[-1])
+    got = {r.doc_id: r.feature for r in queries.op8_media(spark, data).collect()}
+    assert ["media" in k.columns for k in kept] == [True, False]
+    for r in kept[1].collect():
+        mel, found, rate = audio.recording(docs[r.doc_id].text.encode().ljust(r.payload_bytes, b"\0"), audio.RATE)
+        want = np.zeros((-(-len(mel) // audio.BLOCK) * audio.BLOCK, audio.MELS), np.float32)
+        want[: len(mel)] = mel
+        assert np.array_equal(np.float32([b.features for b in r.blocks]).reshape(want.shape), want)
+        assert got[r.doc_id] == audio.digest(mel, found, rate)
+
+
 def pc_flatten(blocks):
     joined = blocks.combine_chunks()
     joined = joined.combine_chunks() if isinstance(joined, pa.ChunkedArray) else joined
