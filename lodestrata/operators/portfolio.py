@@ -110,18 +110,25 @@ def search_like(sources: dict[str, tuple[DataFrame, str, list[str]]], part: str,
 
 # Matching
 
+#: Properties of one key that a task compares at once.
+BLOCK = 1000
+
 
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks (0 to 1); 0 where a side is empty."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+    known: dict = {}
+    for x, y in zip(a, b, strict=True):
+        if (x, y) not in known:
+            known[x, y] = SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+    return pd.Series([known[x, y] for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def match_properties(documents: DataFrame, properties: DataFrame, threshold: float = 0.4, most: int = 5) -> DataFrame:
     """Up to five properties a document may belong to: name (50 points), address (30), city (12) and state (8).
 
-    Candidates share a word of the normalised name, the street number or the city: blocks instead of every pair. Words that are in over a
-    thousand properties link nothing by themselves.
+    Candidates share a word of the normalised name, the street number or the city: blocks instead of every pair. The properties of
+    a key are dealt into blocks of about ``BLOCK``, and each document with the key meets every block, so a hot key fills no task.
     """
     def prepared(df: DataFrame, tag: str) -> DataFrame:
         rows = df.withColumns({"_name": normal_name(F.col("name")), "_addr": normal_name(F.col("address")), "_city": F.lower(F.trim(F.coalesce("city", F.lit("")))), "_state": F.lower(F.trim(F.coalesce("state", F.lit(""))))})
@@ -133,8 +140,10 @@ def match_properties(documents: DataFrame, properties: DataFrame, threshold: flo
         return df.select(f"{tag}id", F.explode(F.array_distinct(parts)).alias("k")).filter(F.length("k") > 2)
 
     d, p = prepared(documents, "d"), prepared(properties, "p")
-    common = keys(p, "p").groupBy("k").agg(F.count("*").alias("n")).filter("n <= 1000").select("k")
-    pairs = keys(d, "d").join(keys(p, "p").join(common, "k", "left_semi"), "k").select("did", "pid").distinct().join(d, "did").join(p, "pid")
+    sized = keys(p, "p").groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("b"))
+    held = keys(p, "p").join(sized, "k").select("k", "pid", F.pmod(F.xxhash64("pid"), "b").cast("int").alias("s"))
+    asked = keys(d, "d").join(sized, "k").select("k", "did", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("s"))
+    pairs = asked.join(held, ["k", "s"]).select("did", "pid").distinct().join(d, "did").join(p, "pid")
     c = F.col
     name = similarity(c("d_name"), c("p_name"))
     inside = (c("d_name") != "") & (c("p_name") != "") & (c("p_name").contains(c("d_name")) | c("d_name").contains(c("p_name")))

@@ -206,6 +206,13 @@ def test_matching(spark):
     assert {(r.id, r.matched, r.how) for r in portfolio.containment_match(a, b).collect()} == {(1, 5, "contains"), (2, 6, "exact")}
 
 
+def test_matching_of_hot_keys(spark):
+    """A city, number or word of over a thousand properties still links them."""
+    p = spark.createDataFrame([(k, f"Name{k:05d}", "12 Main St", "Austin", "TX") for k in range(2500)], "id int, name string, address string, city string, state string")
+    d = spark.createDataFrame([(7, "Zzz", "12 Main St", "Austin", "TX")], p.schema)
+    assert [(r.property_id, r["rank"], r.score) for r in portfolio.match_properties(d, p).orderBy("rank").collect()] == [(k, k + 1, 0.5) for k in range(5)]
+
+
 def test_permissions(spark):
     roles = {"admin": {"a": "edit"}, "viewer": {"a": "read"}}
     users = spark.createDataFrame([("u", "admin", {"a": "none"}), ("v", "ghost", {"a": "bogus", "zzz": "edit"}), ("w", None, None)], "user_id string, role_template string, overrides map<string,string>")
