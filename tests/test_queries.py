@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 from conftest import DATA, compare
+from pyspark.sql import functions as F
 
-from lodestrata.plans import catalog
+from lodestrata.plans import catalog, portfolio
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -31,6 +32,23 @@ def test_runs(spark, data, name):
     assert df.count() > 0 and df.schema == catalog.QUERIES[name](spark, data).schema
 
 
+def test_matching_asks_for_every_row(spark, data):
+    parts = spark.read.parquet(f"{data}/part.parquet").count()
+    more = spark.read.parquet(f"{data}/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 300)
+    found = catalog.QUERIES["jn19_match_properties"](spark, data)
+    assert found.select("document_id").distinct().count() == parts
+    with pytest.MonkeyPatch.context() as m:  # ids above 300 too
+        m.setattr(portfolio, "t", lambda *_: more)
+        assert catalog.QUERIES["jn19_match_properties"](spark, data).select("document_id").distinct().count() == parts
+
+
+def test_search_has_the_whole_owner_table(spark, data, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(portfolio.po, "search_like", lambda sources, *_: seen.update(sources) or spark.range(1))
+    catalog.QUERIES["tx17_search_like"](spark, data)
+    assert seen["owner"][0].count() == spark.read.parquet(f"{data}/customer.parquet").count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
