@@ -163,6 +163,16 @@ def tx01(spark, d):
     return t(spark, d, "documents").select("doc_id", labels.type_of_filename(name).alias("f")).select("doc_id", "f.document_type", "f.confidence")
 
 
+@query("tx01_filenames_of_documents")
+def tx01_documents(spark, d):
+    return src.documents(spark, d).select("document_id", labels.type_of_filename(F.col("filename")).alias("f")).select("document_id", "f.document_type", "f.confidence")
+
+
+@query("tx02_keywords_of_documents")
+def tx02_documents(spark, d):
+    return labels.type_of_text(src.documents(spark, d), "document_id", "text")
+
+
 _SENTENCES = ("this lease agreement between landlord and tenant sets the base rent", "promissory note of the borrower to the lender with maturity date", "net operating income and total expenses", "general ledger debit credit", "")
 
 
