@@ -51,10 +51,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) of every document taken, and their number."""
+    """Token ids (little-endian unsigned 32-bit integers) of every document taken, their number, and the hash of the text that they decode to."""
     path = public_tokenizers.path(VOCABULARY)
     ids = bpe.encode(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN)
-    return ids.select("doc_id", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids")
+    decoded = bpe.decode(ids.select("doc_id", "source", "ids"), path)
+    n_tokens = F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens")
+    return decoded.select("doc_id", "source", n_tokens, "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
@@ -62,7 +64,7 @@ STAGES = [
     ("line dedup", line_dedup),
     ("SimHash near-dedup", near_dedup),
     ("mixing sources to target weights", mix_sources),
-    ("byte-level BPE encoding", encode),
+    ("byte-level BPE encoding and decoding", encode),
 ]
 
 #: Fits, components over rounds and the merges of a vocabulary aren't expressible in SQL; tests/llm checks the stages.

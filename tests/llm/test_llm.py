@@ -593,6 +593,15 @@ def test_pipeline(spark, data, docs):
     assert frames[4].count() == frames[3].count() and frames[3].groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
 
+def test_pipeline_decodes(spark, data):
+    import corpus_pipeline as cp
+
+    name, stage = cp.STAGES[-1]
+    assert name == "byte-level BPE encoding and decoding"
+    rows = stage(spark, edges(spark).select(cp.COLUMNS), data).collect()
+    assert [(r.doc_id, r.decoded_sha256) for r in rows] == [(e[0], hashlib.sha256((e[1] or "").encode()).hexdigest()) for e in EDGES]
+
+
 def test_pipeline_stages_on_edges(spark, data):
     import corpus_pipeline as cp
 
