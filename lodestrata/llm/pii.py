@@ -1,158 +1,280 @@
 """Personal data: keyed surrogates (operator 4, DataFrame functions only).
 
-Entities are found by one pattern: e-mail addresses, card numbers, social-security numbers, telephone numbers, IPv4 addresses, access keys,
-hexadecimal secrets, and names after a title. Each gets a surrogate of its own type: lengths, separators, letter case and country codes stay, card numbers keep
-their first digit and a valid check digit, addresses fall into the private range, keys keep their prefix; names keep title, gender and script.
-Every drawn character comes from a keyed SHA-256 of the entity (case aside), so one entity has one surrogate in all documents (coreference) and without the key there is no way back.
-Names are mapped part by part, so "Mr. Smith" and "Mr. John Smith" still share a family name.
+Entities are found by one pattern: e-mail addresses, access keys, hexadecimal secrets, bank account numbers (IBAN), card numbers,
+social-security numbers, telephone numbers, IPv6 and IPv4 addresses, and names after a title.
 
-Collision checks run over the distinct entities of all documents: where two entities draw one surrogate, or a surrogate is
-itself an entity of the corpus, all but the least such entity draw again (a higher ``try``), until none is left. Draws at ``try`` 0 need no
-lookup, so texts are rewritten in place, without a shuffle; only documents with an entity that drew again are joined with those exceptions.
+A surrogate is drawn by a keyed permutation, not by a hash: the variable characters of an entity (digits, letters, vowels, and so
+on, each in its own pool) are the digits of a number of mixed radix, and a Feistel network over its even and odd places maps the
+numbers of one format onto each other. So two entities never have one surrogate, whatever their number, and no draw has to be repeated
+or looked up: texts are rewritten in place, without a shuffle. The permutation is an inner one of a shift (encrypt, add, decrypt),
+which has no fixed point: no entity stays as it is.
+
+What stays: lengths, separators, letter case, scripts, country codes, top-level domains, prefixes of keys, the first digit of cards, the validity
+or invalidity of check digits, titles. Names are mapped part by part, vowels to vowels and consonants to consonants of the script, so "Mr. Smith" and
+"Mr. John Smith" share a family name; given names keep their last letter and Cyrillic family names their ending, which tell the gender. One number
+has one surrogate however it is spaced, and mailboxes of one domain stay together.
+
+Collision check: the distinct pairs of entity and surrogate of the whole table are counted, and a surrogate of two entities is an error.
 
 Defined results: null and empty texts stay as they are with no entities; repeated rows are treated alike; columns ``n_entities`` and ``entities``
-of the input are replaced.
+of the input are replaced, as would be columns called ``_pieces _found _made``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Titles by gender (fixed values).
 MALE = "Mr|Sir|Herr|Monsieur|Señor|Sr|Г-н|Господин"
 FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Г-жа|Госпожа"
-#: Patterns in the order in which they are tried.
+NEUTRAL = "Dr|Prof"
+_TITLES = f"{MALE}|{FEMALE}|{NEUTRAL}"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Patterns in the order in which they are tried; none starts within a run of ASCII letters and digits.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}",
-    "access": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9A-Za-z])",
-    "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
-    "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{MALE}|{FEMALE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+){{0,2}}",
-}
-PATTERN = "|".join(KINDS.values())
-#: What a text must have for the pattern to match at all: every kind has a part of its own or another's.
-HINT = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}|[0-9a-f]{{32}}|A(?:KIA|SIA)[0-9A-Z]"
-#: Syllables of surrogate names by script, and endings by gender (fixed values).
-SYLLABLES = {"latin": "ba de fi go ka le mi no pa re sa ti va wo zu lan ber cor dal mon", "cyrillic": "ба де ви го ка ле ми но па ре са ти ва зо лу ман бер кор дал мон"}
-ENDINGS = {("latin", "m"): "us en ard on", ("latin", "f"): "a ia ine elle", ("cyrillic", "m"): "ов ин ев ан", ("cyrillic", "f"): "ова ина ева ана"}
-MOST_TRIES = 64
+    "access": r"A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": r"[0-9a-f]{32,64}(?![A-Za-z0-9])",
+    "iban": r"(?=(?:[A-Z ]*[0-9]){12})[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9A-Za-z])",
+    "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+(?=(?:[ .()-]*[0-9]){8})[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,5}(?![0-9A-Za-z])",
+    "ipv6": rf"(?:{_HEX}:){{7}}{_HEX}(?![0-9A-Za-z:])|(?:{_HEX}:){{2,6}}:?(?:(?<=::){_HEX})(?::{_HEX}){{0,4}}(?![0-9A-Za-z:])",
+    "ip": rf"(?<!\.)(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
+}
+NAME = rf"(?<!\p{{L}})(?:{_TITLES})\.? [\p{{Lu}}\p{{Lo}}][\p{{L}}\p{{M}}'’-]+(?: [\p{{Lu}}\p{{Lo}}][\p{{L}}\p{{M}}'’-]+){{0,2}}"
+#: What a text must hold for a kind to occur in it: one of these strings, or a match of this pattern. Each follows from the kind's own pattern.
+NEEDS = {
+    "email": ("@",), "access": ("AKIA", "ASIA"), "secret": "[0-9a-f]{32}", "iban": "[0-9]", "card": "[0-9]", "ssn": "[0-9]", "phone": "[0-9]", "ipv6": (":",), "ip": "[0-9]", "name": tuple(_TITLES.split("|")),
+}
+_START = "(?<![A-Za-z0-9])"
+PATTERN = f"{_START}(?:{'|'.join(KINDS.values())})|{NAME}"
+#: Letters and digits that replace each other (fixed values): digits, Latin, Cyrillic, Greek, Hebrew, Arabic, Devanagari, kana.
+POOLS = (
+    "0123456789", "bcdfghjklmnpqrstvwxz", "aeiouy", "àáâãäåèéêëìíîïòóôõöùúûüýāăąēęěīįōőūůű", "çñćčďđķļłńņňřśşšţťźżž",
+    "бвгджзйклмнпрстфхцчшщґ", "аеёиоуыэюяіїє", "βγδζθκλμνξπρστφχψ", "αεηιουω", "άέήίόύώ",
+    "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "कखगघचछजझटठडढणतथदधनपफबभमयरलवशसह",
+    "かきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ", "カキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+)
+#: The sets of pools by number: for names; without vowels told apart, for other entities; for hexadecimal numbers.
+POOL_SETS = (POOLS, ("0123456789", "abcdefghijklmnopqrstuvwxyz"), ("0123456789abcdef",))
+NAMES, PLAIN, HEX = range(3)
+#: Blocks of letters that are one pool each, first and last code point: Hangul syllables, Han characters, Georgian, Armenian.
+BLOCKS = ((0xAC00, 0xD7A3), (0x4E00, 0x9FA5), (0x10D0, 0x10F0), (0x0561, 0x0586))
+#: Letters of scripts that have no pool stay within their row of so many code points.
+ROW = 16
+ROUNDS = 4
+#: Parts an entity out of its text; a text that has this noncharacter is handled by a slower way.
+MARK = "﷐"
 
 
 def kind(entity: Column) -> Column:
-    out = F.lit(None).cast("string")
+    out = F.lit("name")
     for name, pattern in reversed(KINDS.items()):
         out = F.when(entity.rlike(f"^(?:{pattern})$"), name).otherwise(out)
     return out
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text in their order."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def hinted(text: Column) -> Column:
+    """False only where no kind can occur; much cheaper than the pattern."""
+    parts = dict.fromkeys(p for need in NEEDS.values() for p in ([need] if isinstance(need, str) else need))
+    patterns = {need for need in NEEDS.values() if isinstance(need, str)}
+    return reduce(lambda a, b: a | b, (text.rlike(p) if p in patterns else F.contains(text, F.lit(p)) for p in parts))
+
+
+def pieces(text: Column) -> Column:
+    """Text and entities in turn: the entities are at the odd places."""
+    quick = F.split(F.regexp_replace(text, F.lit(PATTERN), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    found = F.concat(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array(F.lit(None).cast("string")))
+    slow = F.flatten(F.zip_with(F.split(text, PATTERN, -1), found, lambda p, e: F.array(p, e)))
+    return F.when(~hinted(text), F.array(text)).when(F.contains(text, F.lit(MARK)), F.slice(slow, F.lit(1), F.size(slow) - 1)).otherwise(quick)
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _code(c: Column) -> Column:
+    return F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int")
+
+
+def _char(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+
+
+def _table(value) -> Column:
+    """A list of integers of every set of pools, by the set's number."""
+    return F.expr(f"array({', '.join(f'array({", ".join(map(str, value(pools)))})' for pools in POOL_SETS)})")
+
+
+def _letters(pools: Column) -> Column:
+    return F.get(F.array(*[F.lit("".join(p)) for p in POOL_SETS]), pools)
+
+
+def _placed(c: Column, pools: Column) -> Column:
+    """A lower-case character -> start of its pool, size, place in it; size 1 stays. A pool of the set numbered ``pools`` has the start -1 - its place in the set."""
+    row = lambda start, size, place: F.struct(start.cast("int").alias("start"), size.cast("int").alias("n"), place.cast("int").alias("x"))
+
+    def inside(at: Column) -> Column:
+        begin = F.get(F.get(_table(lambda ps: [len("".join(ps[:k])) for k, p in enumerate(ps) for _ in p]), pools), at - 1)
+        size = F.get(F.get(_table(lambda ps: [len(p) for p in ps for _ in p]), pools), at - 1)
+        return row(-1 - begin, size, at - 1 - begin)
+
+    def outside(code: Column) -> Column:
+        out = F.when((code >= 0x0100) & (code <= 0xFFFF) & c.rlike(r"^\p{L}$"), row(F.floor(code / ROW) * ROW, F.lit(ROW), code % ROW)).otherwise(row(F.lit(0), F.lit(1), F.lit(0)))
+        for low, high in BLOCKS:
+            out = F.when(code.between(low, high), row(F.lit(low), F.lit(high - low + 1), code - low)).otherwise(out)
+        return out
+
+    other = F.when(pools == NAMES, _let(_code(c), outside)).otherwise(row(F.lit(0), F.lit(1), F.lit(0)))
+    return _let(F.instr(_letters(pools), c), lambda at: F.when((at > 0) & (F.length(c) == 1), inside(at)).otherwise(other))
 
 
-def _drawn(seed: Column, at: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(seed, at), F.lit(n)).cast("int")
+def permuted(body: Column, secret: Column, pools: Column) -> Column:
+    """``body`` with its characters mapped within their pools by the permutation that ``secret`` names; ``pools``: number of the set of pools."""
+    low = lambda c: F.when(F.length(F.lower(c)) == 1, F.lower(c)).otherwise(c)
 
+    def turned(x: Column, n: Column, sign: int) -> Column:
+        """The Feistel network (sign 1) or its inverse (-1) on the digits ``x`` of radices ``n``."""
 
-def _chars(value: Column, seed: Column, digits: str = "0123456789", lower: str = "abcdefghijklmnopqrstuvwxyz") -> Column:
-    """Every digit and letter drawn anew within its class; anything else stays."""
-    pick = lambda pool, at: F.substr(F.lit(pool), _drawn(seed, at, len(pool)) + 1, F.lit(1))
-    one = lambda c, i: F.when(c.rlike("[0-9]"), pick(digits, i)).when(c.rlike("[a-z]"), pick(lower, i)).when(c.rlike("[A-Z]"), pick(lower.upper(), i)).otherwise(c)
-    return F.array_join(F.transform(F.split(value, ""), one), "")
+        def one(digits: Column, r: Column) -> Column:
+            other = F.array_join(F.filter(digits, lambda _, i: i % 2 != r % 2).cast("array<string>"), ",")
+            stream = F.sha2(F.concat_ws("|", secret, r.cast("string"), F.array_join(n.cast("array<string>"), ","), other), 256)
+            step = lambda d, i, key: F.when(i % 2 == r % 2, F.pmod(d + sign * F.pmod(F.xxhash64(key, i), F.get(n, i)).cast("int"), F.get(n, i))).otherwise(d)
+            return _let(stream, lambda key: F.transform(digits, lambda d, i: step(d, i, key)))
 
+        rounds = [F.lit(r) for r in (range(ROUNDS) if sign > 0 else reversed(range(ROUNDS)))]
+        return F.aggregate(F.array(*rounds), x, one)
 
-def _with_check_digit(number: Column) -> Column:
-    """A card number whose last digit makes its Luhn sum a multiple of ten."""
-    body = F.regexp_replace(number, r"[0-9]$", "")
-    digits = F.reverse(F.filter(F.split(body, ""), lambda c: c.rlike("[0-9]")))
-    doubled = F.transform(digits, lambda c, i: F.when(i % 2 == 0, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
-    total = F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
-    return F.concat(body, F.pmod(-total, F.lit(10)).cast("string"))
+    def drawn(places: Column) -> Column:
+        """Places -> the new digits of those that vary."""
+        free = F.filter(places, lambda p: p["n"] > 1)
+        n = F.transform(free, lambda p: p["n"])
+        shifted = lambda x: F.transform(x, lambda d, i: F.when(i == 0, F.pmod(d + 1 + F.pmod(F.xxhash64(secret), F.get(n, i) - 1).cast("int"), F.get(n, i))).otherwise(d))
+        return _let(turned(F.transform(free, lambda p: p["x"]), n, 1), lambda e: turned(shifted(e), n, -1))
 
+    def spelled(state: Column) -> Column:
+        where = F.filter(F.sequence(F.lit(0), F.size(state["places"]) - 1), lambda i: F.get(state["places"], i)["n"] > 1)
+        every = _letters(pools)
 
-def _name(value: Column, key: str, again: Column) -> Column:
-    """Title kept; each part a drawn name of the same script, given names of the title's gender."""
+        def char(c: Column, i: Column, where: Column) -> Column:
+            p = F.get(state["places"], i)
+            new = _let(F.get(state["drawn"], (F.array_position(where, i) - 1).cast("int")), lambda d: F.when(p["start"] < 0, F.substr(every, d - p["start"], F.lit(1))).otherwise(_char(p["start"] + d)))
+            return F.when(p["n"] == 1, c).when(low(c) != c, F.upper(new)).otherwise(new)
+
+        return _let(where, lambda w: F.array_join(F.transform(state["chars"], lambda c, i: char(c, i, w)), ""))
+
+    chars = F.filter(F.split(body, ""), lambda c: c != "")
+    placed = _let(chars, lambda cs: F.struct(cs.alias("chars"), F.transform(cs, lambda c: _placed(low(c), pools)).alias("places")))
+    done = _let(placed, lambda s: F.struct(s["chars"].alias("chars"), s["places"].alias("places"), drawn(s["places"]).alias("drawn")))
+    varies = lambda s: F.exists(s["places"], lambda p: p["n"] > 1)
+    return F.when(F.length(body) == 0, body).otherwise(_let(done, lambda s: F.when(varies(s), spelled(s)).otherwise(body)))
+
+
+def luhn(digits: Column) -> Column:
+    """The check digit that belongs after these digits; anything else among them is passed over."""
+    plain = F.reverse(F.filter(F.split(digits, ""), lambda c: c.rlike("^[0-9]$")))
+    value = lambda c, i: F.when(i % 2 == 1, c.cast("int")).when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)
+    return F.pmod(-F.aggregate(F.transform(plain, value), F.lit(0), lambda a, x: a + x), F.lit(10))
+
+
+def iban_check(country: Column, body: Column) -> Column:
+    """The check number (2 to 98) that belongs to a country and an account."""
+    value = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    folded = lambda a, v: F.pmod(a * F.when(v > 9, 100).otherwise(10) + v, F.lit(97))
+    signs = F.filter(F.split(F.concat(body, country, F.lit("00")), ""), lambda c: c.rlike("^[0-9A-Z]$"))
+    return 98 - F.aggregate(F.transform(signs, value), F.lit(0), folded)
+
+
+def _part(label: Column, head: Column, body: Column, tail: Column) -> Column:
+    return F.struct(label.alias("label"), head.alias("head"), body.alias("body"), tail.alias("tail"))
+
+
+def _name_parts(value: Column) -> Column:
+    """A title and up to three names -> the names; the last is the family name."""
     title, rest = F.regexp_extract(value, r"^(\S+) (.*)$", 1), F.regexp_extract(value, r"^(\S+) (.*)$", 2)
-    parts = F.split(rest, " ")
-    female = title.rlike(rf"^(?:{FEMALE})\.?$")
-
-    def part(p: Column, i: Column) -> Column:
-        last = i == F.size(parts) - 1
-        seed = F.sha2(F.concat(F.lit(f"{key}|part|"), F.lower(p), F.when(last, F.lit("")).otherwise(F.when(female, F.lit("|f")).otherwise(F.lit("|m")))), 256)
-
-        def made(script: str) -> Column:
-            pool = F.split(F.lit(SYLLABLES[script]), " ")
-            count = F.lit(4) + F.when(last, again).otherwise(F.lit(0))
-            body = F.array_join(F.transform(F.sequence(F.lit(1), count), lambda k: F.get(pool, _drawn(F.when(k > 4, F.concat(seed, F.lower(value))).otherwise(seed), k, len(SYLLABLES[script].split())))), "")
-            end = lambda g: F.get(F.split(F.lit(ENDINGS[script, g]), " "), _drawn(seed, F.lit(0), 4))
-            latin_family = F.lit("") if script == "latin" else F.when(female, end("f")).otherwise(end("m"))
-            return F.concat(F.initcap(body), F.when(last, latin_family).otherwise(F.when(female, end("f")).otherwise(end("m"))))
-
-        return F.when(p.rlike(r"\p{IsCyrillic}"), made("cyrillic")).otherwise(made("latin"))
-
-    return F.concat(title, F.lit(" "), F.array_join(F.transform(parts, part), " "))
-
-
-def surrogate(value: Column, key: str, again: Column) -> Column:
-    """The surrogate of an entity at the ``again``-th draw."""
-    what = kind(value)
-    seed = F.sha2(F.concat(F.lit(f"{key}|"), what, F.lit("|"), F.lower(value), F.lit("|"), again.cast("string")), 256)
-    octet = lambda i: (_drawn(seed, F.lit(i), 254) + 1).cast("string")
-    country = F.regexp_extract(value, r"^(\+[0-9]{1,3}[ .-]?)", 1)
-    ending = F.regexp_extract(value, r"(\.[A-Za-z]{2,})$", 1)
-    cut = lambda head: F.substr(value, F.length(head) + 1, F.length(value) - F.length(head))
+    gender = F.when(title.rlike(rf"^(?:{FEMALE})\.?$"), "f").when(title.rlike(rf"^(?:{MALE})\.?$"), "m").otherwise("")
+
+    def part(p: Column, i: Column, last: Column, gender: Column) -> Column:
+        family = i == last
+        ending = F.when(~family, 1).when(~p.rlike(r"\p{IsCyrillic}"), 0).when(gender == "f", 3).when(gender == "m", 2).otherwise(0)
+        ending = F.when(F.length(p) >= ending + 2, ending).otherwise(0)
+        label = F.when(family, F.lit("family")).otherwise(F.concat(F.lit("given "), gender))
+        head = F.when(i == 0, F.concat(title, F.lit(" "))).otherwise(F.lit(" "))
+        return _let(ending, lambda n: _part(label, head, F.substr(p, F.lit(1), F.length(p) - n), F.substr(p, F.length(p) - n + 1, n)))
+
+    return _let(gender, lambda g: _let(F.split(rest, " "), lambda names: F.transform(names, lambda p, i: part(p, i, F.size(names) - 1, g))))
+
+
+def _parts(value: Column, what: Column) -> Column:
+    """An entity of the kind ``what`` -> label, head, body, tail of each part: heads and tails stay, bodies are permuted under their labels."""
+    none = F.lit("")
+    upto = lambda pattern: F.regexp_extract(value, pattern, 1)
+    whole = lambda label, head=none, tail=none: F.array(_part(label, head, F.substr(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail)), tail))
+    octets = F.array_join(F.transform(F.split(value, r"\."), lambda o: F.lower(F.lpad(F.hex(o.cast("long")), 2, "0"))), "")
+    mail = F.array(_part(F.lit("mailbox"), none, upto("^(.*)@"), F.lit("@")), _part(F.lit("domain"), none, upto(r"@(.*)\.[A-Za-z]+$"), upto(r"(\.[A-Za-z]+)$")))
     return (
-        F.when(what == "email", F.concat(_chars(F.substr(value, F.lit(1), F.length(value) - F.length(ending)), seed), ending))
-        .when(what == "access", F.concat(F.substr(value, F.lit(1), F.lit(4)), _chars(F.substr(value, F.lit(5), F.length(value) - 4), seed)))
-        .when(what == "secret", _chars(value, seed, lower="abcdef"))
-        .when(what == "card", _with_check_digit(F.concat(F.substr(value, F.lit(1), F.lit(1)), _chars(F.substr(value, F.lit(2), F.length(value) - 1), seed))))
-        .when(what == "ssn", F.concat(F.lit("9"), _chars(F.substr(value, F.lit(2), F.length(value) - 1), seed)))
-        .when(what == "phone", F.concat(country, _chars(cut(country), seed, digits="23456789")))
-        .when(what == "ip", F.concat(F.lit("10."), octet(1), F.lit("."), octet(2), F.lit("."), octet(3)))
-        .otherwise(_name(value, key, again))
+        F.when(what == "email", mail)
+        .when(what == "name", _name_parts(value))
+        .when(what == "ip", F.array(_part(what, none, octets, none)))
+        .when(what.isin("access", "iban"), whole(what, F.substr(value, F.lit(1), F.lit(4))))
+        .when(what == "card", whole(what, F.substr(value, F.lit(1), F.lit(1)), F.substr(value, F.length(value), F.lit(1))))
+        .when(what == "phone", whole(what, upto(r"^(\+[0-9]{1,3}[ .-]?|)")))
+        .otherwise(whole(what))
     )
 
 
-def tries(values: DataFrame, key: str) -> DataFrame:
-    """Distinct entities (``value``) -> (value, try), the draw whose surrogate is neither another's nor an entity of the corpus."""
-    state = materialize(values.select("value", F.lit(0).alias("try")))
-    for _ in range(MOST_TRIES):
-        drawn = state.withColumn("s", surrogate(F.col("value"), key, F.col("try")))
-        spelled = drawn.groupBy("s").agg(F.min(F.struct("try", F.lower("value").alias("v"))).alias("first"), F.count_distinct(F.lower("value")).alias("n"))
-        taken = spelled.join(values.select(F.col("value").alias("s"), F.lit(True).alias("real")), "s", "left").filter("n > 1 or real")
-        losers = drawn.join(taken, "s").filter(F.col("real").isNotNull() | (F.lower("value") != F.col("first.v"))).select("value", F.lit(1).alias("more"))
-        losers = materialize(losers)
-        if losers.isEmpty():
-            return state
-        state = materialize(state.join(losers, "value", "left").select("value", (F.col("try") + F.coalesce("more", F.lit(0))).alias("try")))
-    raise RuntimeError("surrogates still collide")
+def _checked(value: Column, what: Column, new: Column) -> Column:
+    """The permuted entity ``new`` with check digits as right or wrong as those of ``value``; addresses get their dots again."""
+    head = lambda x: F.substr(x, F.lit(1), F.length(x) - 1)
+    digit = lambda x: F.substr(x, F.length(x), F.lit(1)).cast("int")
+    card = F.concat(head(new), F.pmod(luhn(head(new)) + digit(value) - luhn(head(value)), F.lit(10)).cast("string"))
+    country, given, account = F.substr(value, F.lit(1), F.lit(2)), F.substr(value, F.lit(3), F.lit(2)).cast("int"), lambda x: F.substr(x, F.lit(5), F.length(x))
+    check = 2 + F.pmod(iban_check(country, account(new)) - 2 + given - iban_check(country, account(value)), F.lit(97))
+    iban = F.when(given.between(2, 98), F.concat(country, F.lpad(check.cast("string"), 2, "0"), account(new))).otherwise(new)
+    ip = F.array_join(F.transform(F.array(*map(F.lit, (1, 3, 5, 7))), lambda i: F.conv(F.substr(new, i, F.lit(2)), 16, 10)), ".")
+    return F.when(what == "card", card).when(what == "iban", iban).when(what == "ip", ip).otherwise(new)
+
 
+def surrogate(value: Column, key: str) -> Column:
+    """The surrogate of an entity."""
+    pools = lambda what: F.when(what == "name", NAMES).when(what.isin("secret", "ipv6", "ip"), HEX).otherwise(PLAIN)
+    one = lambda p, what: F.concat(p["head"], permuted(p["body"], F.concat(F.lit(f"{key}|"), p["label"]), pools(what)), p["tail"])
+    joined = lambda what: F.array_join(F.transform(_parts(value, what), lambda p: one(p, what)), "")
+    return _let(kind(value), lambda what: _let(joined(what), lambda new: _checked(value, what, new)))
 
-def anonymize(docs: DataFrame, key: str, text: str = "text", id_: str = "doc_id") -> DataFrame:
+
+def collisions(pairs: DataFrame) -> DataFrame:
+    """Pairs ``value``, ``surrogate`` -> surrogates of more than one value."""
+    return pairs.distinct().groupBy("surrogate").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def anonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with entities replaced in ``text``, and ``n_entities`` and ``entities`` (how many of each kind)."""
-    base = docs.drop("n_entities", "entities").withColumn("_e", F.coalesce(entities(F.col(text)), F.array().cast("array<string>")))
-    values = materialize(base.select(F.explode("_e").alias("value")).distinct())
-    odd = materialize(tries(values, key).filter("try > 0"))
-    if odd.isEmpty():
-        base = base.withColumn("_again", F.create_map().cast("map<string,int>"))
-    else:
-        base = base.withColumns({"_i": F.coalesce(F.col(id_).cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-        hit = base.select("_i", "_th", F.explode(F.array_distinct("_e")).alias("value")).distinct().join(odd, "value")
-        held = hit.groupBy("_i", "_th").agg(F.map_from_entries(F.collect_list(F.struct("value", "try"))).alias("_again"))
-        base = base.join(held, ["_i", "_th"], "left").withColumn("_again", F.coalesce("_again", F.create_map().cast("map<string,int>")))
-    pieces = F.split(F.col(text), PATTERN, -1)
-    made = F.transform("_e", lambda e: surrogate(e, key, F.coalesce(F.try_element_at(F.col("_again"), e), F.lit(0))))
-    joined = F.array_join(F.flatten(F.zip_with(pieces, made, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    kinds = F.transform("_e", kind)
-    counts = F.filter(F.transform(F.array(*map(F.lit, KINDS)), lambda k: F.struct(k.alias("kind"), F.size(F.filter(kinds, lambda x: x == k)).alias("n"))), lambda x: x["n"] > 0)
-    return base.select(
-        *[F.when(F.size("_e") > 0, joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_entities", "entities")],
-        F.size("_e").alias("n_entities"),
-        F.when(F.size("_e") > 0, counts).otherwise(F.array().cast("array<struct<kind:string,n:int>>")).alias("entities"),
-    )
+    names = [c for c in docs.columns if c not in ("n_entities", "entities")]
+    odd = lambda x: F.filter(x, lambda _, i: i % 2 == 1)
+    none = F.array().cast("array<string>")
+    parted = docs.select(*names, F.coalesce(pieces(F.col(text)), none).alias("_pieces")).withColumn("_found", odd(F.col("_pieces")))
+    made = parted.withColumn("_made", F.transform("_found", lambda e: surrogate(e, key)))
+    joined = F.array_join(F.transform("_pieces", lambda p, i: F.when(i % 2 == 1, F.get("_made", F.floor(i / 2).cast("int"))).otherwise(p)), "")
+    kinds = F.transform("_found", kind)
+    counts = F.filter(F.transform(F.array(*map(F.lit, [*KINDS, "name"])), lambda k: F.struct(k.alias("kind"), F.size(F.filter(kinds, lambda x: x == k)).alias("n"))), lambda x: x["n"] > 0)
+    some = F.size("_found") > 0
+    out = materialize(made.select(
+        *[F.when(some, joined).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in names],
+        F.size("_found").alias("n_entities"),
+        F.when(some, counts).otherwise(F.array().cast("array<struct<kind:string,n:int>>")).alias("entities"),
+        F.when(some, F.arrays_zip(F.col("_found").alias("value"), F.col("_made").alias("surrogate"))).alias("_pairs"),
+    ))
+    twice = collisions(out.select(F.explode("_pairs").alias("p")).select("p.value", "p.surrogate"))
+    if not twice.isEmpty():
+        discard(out)
+        raise RuntimeError("two entities have one surrogate")
+    return out.drop("_pairs")
