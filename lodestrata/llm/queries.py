@@ -36,7 +36,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return sharding.stored(sharding.shard(sharding.measured(docs), 24), 24)
+    return sharding.stored(sharding.shard(sharding.measured(docs), 24))
 
 
 def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

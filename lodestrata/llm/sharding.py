@@ -4,7 +4,8 @@ Pass one scatters the records: a rendezvous hash of ``doc_id`` names the shard,
 and a seeded hash one of the shard's buckets, whose number is set so that
 a bucket fits in memory (``BUCKET_BYTES`` and ``BUCKET_ROWS``). Pass two holds one
 bucket at a time, puts its records into a fixed order, shuffles them by
-Fisher-Yates with draws from a seeded hash, and numbers them on from the buckets before.
+Fisher-Yates with draws from a seeded hash, numbers them on from the buckets before, and writes them.
+The texts are shuffled once; buckets are counted on rows of (shard, hash, size).
 
 The law is ``key``: ``doc_id`` and the number of shards alone decide. With one more
 shard, rendezvous hashing moves rows only into the new one (``grown_shard``).
@@ -33,6 +34,8 @@ LAW = "key"
 SEED = 20_011
 BUCKET_BYTES = 4 << 20
 BUCKET_ROWS = 1 << 10
+#: Rows that a repeated row is unrolled to at once.
+COPIES = 1 << 10
 #: What a record costs besides its text.
 OVERHEAD = 8
 _NEW = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -66,24 +69,24 @@ def shard(records: DataFrame, shards: int, key: str = "doc_id", seed: int = SEED
     Write the result with ``write_shards``, or sort by ``slot`` within a shard.
     """
     keep = [c for c in records.columns if c not in _NEW]
+    copy = F.lit(1).cast("long")
+    rows = records.select(*keep, "size", "text_crc32")
     # rows are counted by a hash first; with none repeated, no text is shuffled for it
     hashed = records.select(F.xxhash64(*keep, "size", "text_crc32").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    if hashed.filter("n > 1").isEmpty():
-        rows = records.select(*keep, "size", "text_crc32", F.lit(1).cast("long").alias("_m"))
-    else:
-        rows = records.groupBy(*keep, "size", "text_crc32").agg(F.count("*").alias("_m"))
-    rows = materialize(rows.select("*", rendezvous(F.col(key), shards, seed).alias("shard"), rendezvous(F.col(key), shards + 1, seed).alias("grown_shard")))
-    full = rows.groupBy("shard").agg(F.sum(F.col("size") * F.col("_m")).alias("b"), F.sum("_m").alias("n")).agg(F.max("b"), F.max("n")).first()
+    if not hashed.filter("n > 1").isEmpty():
+        rows = _copies(rows.groupBy(*keep, "size", "text_crc32").agg(F.count("*").alias("_m")))
+        copy = F.col("_copy")
+    rows = rows.withColumns({"shard": rendezvous(F.col(key), shards, seed), "grown_shard": rendezvous(F.col(key), shards + 1, seed), "_h": F.xxhash64(F.lit(seed + 1), key, "text_crc32", copy)})
+    places = materialize(rows.select("shard", "_h", "size"))  # a few bytes a row; the texts are shuffled once, into their buckets
+    full = places.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).agg(F.max("b"), F.max("n")).first()
     buckets = power_of_two(max((full[0] or 0) / BUCKET_BYTES, (full[1] or 0) / BUCKET_ROWS))
-    fields = [*keep, "size", "text_crc32", "grown_shard"]
-    scattered = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).withColumn(
-        "_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), key, "text_crc32", "_copy"), F.lit(buckets)).cast("int")
-    )
-    counts = scattered.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
+    bucket = F.pmod("_h", F.lit(buckets)).cast("int").alias("_bucket")
+    counts = places.groupBy("shard", bucket).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = materialize(counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    fields = [*keep, "size", "text_crc32", "grown_shard"]
     order = F.struct(F.col(key).alias("k"), F.col("text_crc32").alias("c"), F.struct(*fields).alias("row"))
-    held = scattered.groupBy("shard", "_bucket").agg(F.collect_list(order).alias("_rows")).withColumn("_rows", F.array_sort("_rows"))
+    held = rows.groupBy("shard", bucket).agg(F.collect_list(order).alias("_rows")).withColumn("_rows", F.array_sort("_rows"))
     mixed = held.select("shard", "_bucket", fisher_yates("_rows", "shard", "_bucket", seed=seed + 2).alias("_rows"))
     return (
         mixed.join(starts, ["shard", "_bucket"])
@@ -92,14 +95,22 @@ def shard(records: DataFrame, shards: int, key: str = "doc_id", seed: int = SEED
     )
 
 
-def stored(placed: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _copies(counted: DataFrame) -> DataFrame:
+    """Rows counted in ``_m`` -> each so often, with ``_copy`` from 1; no array is longer than ``COPIES``."""
+    blocks = counted.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / (COPIES * COPIES))))).withColumn("_from", F.col("_from") * COPIES * COPIES)
+    most = lambda step: F.least(F.col("_m") - 1, F.col("_from") + step)
+    blocks = blocks.withColumn("_from", F.explode(F.sequence(F.col("_from"), most(COPIES * COPIES - 1), F.lit(COPIES).cast("long"))))
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.col("_from") + 1, most(COPIES - 1) + 1))).drop("_from", "_m")
+
+
+def stored(placed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``placed`` records with their texts, written as shards into the shared folder; size and CRC are of the texts as read back."""
     path = f"{shared_folder(placed.sparkSession)}/shards/{uuid.uuid4().hex}"
-    write_shards(placed, path, shards)
+    write_shards(placed, path)
     back = placed.sparkSession.read.schema(placed.schema).parquet(path)
     return measured(back, text).select(key, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def write_shards(placed: DataFrame, path: str, shards: int) -> None:
-    """One folder a shard, its files in the order of ``slot``."""
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(placed: DataFrame, path: str) -> None:
+    """One folder a shard. The rows lie in their buckets already: a task writes those that it has shuffled, in the order of ``slot``."""
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

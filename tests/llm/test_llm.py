@@ -417,8 +417,11 @@ def test_sharding_edges(spark, tmp_path, monkeypatch):
     many = spark.range(600).select(F.lit(1).cast("long").alias("doc_id"), F.lit("t").alias("text"))
     hot = sharding.shard(sharding.measured(many), 3).collect()
     assert {r.slot for r in hot} == set(range(600)) and len({r.shard for r in hot}) == 1
+    for n in (1, 3, 4, 5, 16, 17, 33, 100):
+        monkeypatch.setattr(sharding, "COPIES", 4)
+        assert [r._copy for r in sharding._copies(spark.createDataFrame([(7, n)], "a int, _m long")).orderBy("_copy").collect()] == list(range(1, n + 1))
     assert sharding.shard(sharding.measured(empty(spark)), 3).collect() == []
-    sharding.write_shards(out, str(tmp_path / "s"), 3)
+    sharding.write_shards(out, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(EDGES)
 
 
@@ -543,7 +546,7 @@ def test_media_is_read_back(spark, data, docs, monkeypatch):
         mel, found, rate = audio.recording(docs[r.doc_id].text.encode().ljust(r.payload_bytes, b"\0"), audio.RATE)
         want = np.zeros((-(-len(mel) // audio.BLOCK) * audio.BLOCK, audio.MELS), np.float32)
         want[: len(mel)] = mel
-        assert np.array_equal(np.float32([b.features for b in r.blocks]).reshape(want.shape), want)
+        assert np.array_equal(np.frombuffer(b"".join(b.features for b in r.blocks), np.float16).reshape(want.shape).astype(np.float32), want)
         assert got[r.doc_id] == audio.digest(mel, found, rate)
 
 
@@ -562,12 +565,35 @@ def test_resampling_and_segments():
         full[::up] = x
         want = np.convolve(full, h)[: len(x) * up][::down]
         assert np.allclose(audio.resample(x, up, down), want[: -(-len(x) * up // down)], atol=1e-4)
+    assert audio.UP > 1 and len(audio.resample(x, audio.UP, audio.DOWN)) == -(-len(x) * audio.UP // audio.DOWN)
     e = np.array([0, 2, 1, 0.5, 1, -1, 0.5, 3, 3, 0.5])
     assert audio.segments(e, 1.5, 0.0) == [(1, 5), (7, 10)]
     assert audio.segments(np.zeros(5), 1.0, -1.0) == []
     assert audio.mel_bank(8000).shape == (129, 32) and (audio.mel_bank(8000).sum(0) > 0).all()
 
 
+def test_log_mel_against_brute_force():
+    """Frames, transform and filters by their definitions."""
+    rng = np.random.default_rng(2)
+    rate, x = 10_000, rng.normal(size=1234).astype(np.float32)
+    mel, energy = audio.log_mel(x, rate)
+    n = np.arange(audio.FRAME)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * n / (audio.FRAME - 1))
+    to_mel, to_hz = lambda f: 2595 * np.log10(1 + f / 700), lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = [to_hz(to_mel(rate / 2) * k / (audio.MELS + 1)) for k in range(audio.MELS + 2)]
+    bins = np.arange(audio.FFT // 2 + 1)
+    assert len(mel) == (len(x) - audio.FRAME) // audio.HOP + 1
+    for f in range(len(mel)):
+        part = x[f * audio.HOP : f * audio.HOP + audio.FRAME] * window
+        power = np.abs([(part * np.exp(-2j * np.pi * b * n / audio.FFT)).sum() for b in bins]) ** 2
+        assert energy[f] == pytest.approx(np.log10(power.sum()), abs=1e-3)
+        for m in range(audio.MELS):
+            low, mid, high = edges[m : m + 3]
+            hz = bins * rate / audio.FFT
+            weight = np.clip(np.minimum((hz - low) / (mid - low), (high - hz) / (high - mid)), 0, None)
+            assert mel[f, m] == pytest.approx(np.log10(max((power * weight).sum(), 1e-8)), abs=0.02)
+
+
 # 9
 
 
