@@ -65,7 +65,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+    return lines.dedup_lines(docs, least_tokens=1).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -644,6 +644,43 @@ def test_line_dedup_beside_copies(spark):
         assert got[k] == t.split("\n")[:-1]
 
 
+def test_line_dedup_families_in_a_leaf(spark):
+    """Two families of lines with the same length and first tokens, and exact lines beside them, are told apart."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    rows = []
+    for k in range(30):
+        own = [" ".join(word() for _ in range(9)) for _ in range(3)]
+        one = f"see also the pages of {word()} in our shop today"
+        two = f"see also the {word()} that other readers liked so much"
+        rows.append((f"d{k:02}", "\n".join([own[0], one if k < 18 else two, own[1], "Read more", "", own[2], f"{k}", "  "])))
+    rows.append((None, "Read more\n\nsee also the end"))
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id string, text string, _id int")
+    got = {r.doc_id: r for r in lines.dedup_lines(df, least_tokens=1).collect()}
+    for k, (key, t) in enumerate(rows[:-1]):
+        ls = t.split("\n")
+        want = ls if k == 0 else [x for i, x in enumerate(ls) if x != "Read more" and (i != 1 or k == 18)]
+        assert got[key].text.split("\n") == want and got[key]._id == 1
+    assert got[None].text == "\nsee also the end"
+    # the same, whatever the order of the rows
+    again = {r.doc_id: r.text for r in lines.dedup_lines(df.repartition(3), least_tokens=1).collect()}
+    assert again == {k: r.text for k, r in got.items()}
+
+
+def test_line_dedup_of_exact_lines_against_brute_force(spark):
+    """Lines of one word, for which the tree is trivial: all but the first of five or more different documents lose them."""
+    rng = random.Random(7)
+    lexicon = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(60)]
+    rows = [(k, "\n".join([" ".join("".join(rng.choices("ijklmnop", k=6)) for _ in range(20)), *rng.sample(lexicon, 6)])) for k in range(40)]
+    held = collections.defaultdict(list)
+    for k, t in rows:
+        for x in t.split("\n")[1:]:
+            held[x].append(k)
+    want = {k: [x for i, x in enumerate(t.split("\n")) if i == 0 or len(held[x]) < 5 or held[x][0] == k] for k, t in rows}
+    got = {r.doc_id: r.text.split("\n") for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least_tokens=1).collect()}
+    assert got == want
+
+
 def test_line_dedup_leaves_unique_lines(spark, data, docs):
     rows = queries.op9_lines(spark, data).collect()
     assert len(rows) == len(docs)
