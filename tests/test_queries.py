@@ -55,16 +55,16 @@ def test_search_has_the_whole_owner_table(spark, data, monkeypatch):
 def test_types_of_the_documents_own_names_and_texts(spark, data):
     """Against brute force; the words of the keyword table are in some texts by chance only, so that some documents get them in front."""
     docs = {r.document_id: (r.filename, r.text) for r in portfolio.src.documents(spark, data).collect()}
-    pool = [w for good, bad in labels.KEYWORDS.values() for w in (good + ";" + bad).split(";") if w]
+    pool = [w for good, bad in labels.KEYWORDS.values() for w in good + bad]
     texts = {k: (" ".join(pool[(k * 7 + i * i) % len(pool)] for i in range(k % 9)) + " " * (k % 3 * 490) + (t or "")) for k, (_, t) in docs.items()}
 
     def of_text(text):
         body = text[:5000].lower()
         best = (0.0, None)
         for kind, (good, bad) in labels.KEYWORDS.items():
-            points = sum(3 if w in body[:500] else w in body for w in good.split(";"))
-            points -= sum(4 if w in body[:500] else w in body[:1000] for w in bad.split(";") if w)
-            best = max(best, (max(0, points) / len(good.split(";")), kind), key=lambda x: x[0])
+            points = sum(3 if w in body[:500] else w in body for w in good)
+            points -= sum(4 if w in body[:500] else w in body[:1000] for w in bad)
+            best = max(best, (max(0, points) / len(good), kind), key=lambda x: x[0])
         return (best[1] if best[0] > 0 else "unknown", round(min(1.0, 2 * best[0]), 9))
 
     def of_name(name):
