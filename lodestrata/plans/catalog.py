@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leases, portfolio, proforma, scorecard, synthesis, warehouse  # noqa: F401
+from . import leases, loads, portfolio, proforma, scorecard, synthesis, texts, warehouse  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
