@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,3 +134,52 @@ def percentage(text: Column, is_rate: bool = False) -> Column:
     if not is_rate:
         return value
     return F.when((value > 20) & plain.rlike(r"^\d{3}$"), value / 100).otherwise(value)
+
+
+def bedrooms(unit_type: Column) -> Column:
+    """The category that a unit type's name tells; the first that fits counts."""
+    low = F.lower(F.coalesce(unit_type, F.lit("")))
+    return (
+        F.when(low.contains("studio"), "Studio").when(low.contains("alcove"), "Alcove").when(low.rlike("3[ -]bedroom|3br"), "3 Bedroom")
+        .when(low.rlike("2 bedroom|2br"), "2 Bedroom").when(low.rlike("1 bedroom|1br"), "1 Bedroom").otherwise("Other")
+    )
+
+
+def affordability(unit_type: Column) -> Column:
+    low = F.lower(F.coalesce(unit_type, F.lit("")))
+    is_affordable = low.contains("affordable")
+    return F.when(is_affordable & low.contains("vintage"), "affordable_vintage").when(low.contains("new affordable"), "new_affordable").when(is_affordable, "affordable_lihtc").otherwise("market")
+
+
+def column_letter(index: Column) -> Column:
+    """A sheet's column from 1 on as letters: numbers of base 26 without a zero. Three letters suffice for any sheet."""
+    letter = lambda n: F.when(n > 0, F.substr(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (n - 1) % 26 + 1, F.lit(1))).otherwise("")
+    second = F.floor((index - 1) / 26).cast("int")
+    third = F.floor((second - 1) / 26).cast("int")
+    return F.concat(letter(third), letter(second), letter(index.cast("int")))
+
+
+@F.pandas_udf("string")
+def json_part(texts: pd.Series) -> pd.Series:
+    """The JSON in an answer with words around it: from the first bracket to its partner, a list before an object; null if that is none."""
+
+    def balanced(text: str, opening: str, closing: str) -> str | None:
+        depth, begin = 0, text.find(opening)
+        for m in re.finditer(re.escape(opening) + "|" + re.escape(closing), text[begin:]) if begin >= 0 else ():
+            depth += 1 if m[0] == opening else -1
+            if not depth:
+                return text[begin : begin + m.end()]
+        return None
+
+    def one(text: str | None) -> str | None:
+        for pair in ("[]", "{}"):
+            part = balanced(text or "", *pair)
+            if part:
+                try:
+                    json.loads(part)
+                    return part
+                except ValueError:
+                    continue
+        return None
+
+    return texts.map(one)

@@ -108,6 +108,57 @@ def search_like(sources: dict[str, tuple[DataFrame, str, list[str]]], part: str,
     return reduce(DataFrame.union, found).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
 
 
+def of_documents(rows: DataFrame, docs: DataFrame, **equal) -> DataFrame:
+    """Rows of a table below the documents with type and name; ``equal``: values of columns, None for any."""
+    out = rows.join(docs.select("document_id", "document_type", "filename", "property_id"), "document_id")
+    for name, value in equal.items():
+        out = out if value is None else out.filter(F.col(name) == value)
+    return out
+
+
+def debt_summary(terms: DataFrame, clauses: DataFrame, docs: DataFrame) -> DataFrame:
+    """Every property's debt documents in one list: terms of loans and closings, clauses of loans and guarantees, and guarantees."""
+    part = lambda rows, types, bucket, item: of_documents(rows, docs).filter(F.col("document_type").isin(*types)).select("property_id", F.lit(bucket).alias("bucket"), "document_id", F.col(item).alias("item"))
+    guarantees = docs.filter("document_type = 'guarantee'").select("property_id", F.lit("guarantees").alias("bucket"), "document_id", F.col("filename").alias("item"))
+    return part(terms, ("loan", "closing"), "loan_terms", "term_type").unionByName(part(clauses, ("loan", "guarantee"), "loan_clauses", "clause_type")).unionByName(guarantees)
+
+
+def counted(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each table."""
+    return reduce(DataFrame.union, (rows.agg(F.lit(name).alias("name"), F.count("*").alias("n")).select("name", "n") for name, rows in tables.items()))
+
+
+def recent(rows: DataFrame, at: str, now: Column, days: int = 30) -> DataFrame:
+    """The last days up to a moment that the caller names."""
+    return rows.filter((F.col(at) >= now - F.expr(f"interval {days} days")) & (F.col(at) <= now))
+
+
+def reviewed(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Review states after decisions (``document_id action property_id at``), of which the last counts: approve links to its property, skip and reset change the state."""
+    w = Window.partitionBy("document_id").orderBy(F.desc("at"))
+    last = decisions.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("document_id", "action", F.col("property_id").alias("_p"))
+    state = F.when(F.col("action") == "approve", "approved").when(F.col("action") == "skip", "skipped").when(F.col("action") == "reset", "pending_review").otherwise(F.col("review_status"))
+    joined = docs.join(last, "document_id", "left").withColumn("review_status", state)
+    return joined.withColumn("property_id", F.when(F.col("action") == "approve", F.coalesce("_p", "property_id")).otherwise(F.col("property_id"))).drop("action", "_p")
+
+
+def latest_runs(log: DataFrame, key: list[str]) -> DataFrame:
+    """The newest run of each key from an append-only log (``run_id state at``): a run's state is its last one."""
+    state = log.groupBy(*key, "run_id").agg(F.min("at").alias("started_at"), F.max_by("state", "at").alias("state"))
+    return state.groupBy(*key).agg(F.max_by(F.struct("run_id", "state", "started_at"), F.struct("started_at", "run_id")).alias("r")).select(*key, "r.*")
+
+
+#: What is run on a document, by the mode of its type (fixed values).
+MODES = {"dual": ("terms", "clauses"), "legal": ("clauses",), "financial": ("terms",), "tabular": ("table",)}
+
+
+def dispatched(docs: DataFrame, modes: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(document_id, step) of the steps that a document's type asks for by its modes; types without any have none."""
+    steps = [(kind, step) for kind, names in modes.items() for step in dict.fromkeys(s for m in names for s in MODES[m])]
+    plan = docs.sparkSession.createDataFrame(steps, "document_type string, step string")
+    return docs.join(F.broadcast(plan), "document_type").select("document_id", "step")  # a fixed table
+
+
 # Matching
 
 #: Properties of one key that a task compares at once.

@@ -156,3 +156,9 @@ def momentum_mean(rows: DataFrame, by: list[str], step: str, value: str, half_li
     """Mean of the latest values with weights that halve every ``half_life`` steps above a constant."""
     w = momentum_weight(F.col(step), half_life, most) if half_life else F.lit(1.0)
     return rows.filter(F.col(value).isNotNull()).groupBy(*by).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("value"))
+
+
+def market_volume(sales: DataFrame, years: int = 12) -> DataFrame:
+    """Deals and volume by market and year, of each market's latest years."""
+    by_year = sales.filter("sale_price is not null").groupBy("market", "sale_year").agg(F.count("*").alias("deals"), F.sum(F.col("sale_price").cast("decimal(18,2)")).cast("double").alias("total_volume"))
+    return by_year.withColumn("_n", F.row_number().over(Window.partitionBy("market").orderBy(F.desc("sale_year")))).filter(F.col("_n") <= years).drop("_n")
