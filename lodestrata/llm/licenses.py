@@ -6,10 +6,11 @@ max(1, w/4). Each window gets ``HASHES`` min-hashes, every one a band of one row
 
 Why that suffices: where a text holds at least 0.8 of a template's shingles, some window starts within w/8 of it and has a Jaccard similarity of
 at least 0.36 with the template (0.8 * m / (w + 0.2 * m) for m just above w/2, before and after edges of w/8 are cut), so the chance that none of 32 bands agrees is below (1 - 0.36) ** 32 = 7e-7.
-Windows of one shingle retrieve by that shingle itself, without chance. Retrieved templates are verified exactly: the shingles of the
+Windows of one shingle retrieve by that shingle itself, without chance. Retrieved templates are verified exactly, word by word: the shingles of the
 template that occur in the window and its margins (half a window to either side), as a share of the template's; 0.8 or more is a match.
+So a template is found if 0.8 of it stands within twice its class's length; one that is torn apart by longer insertions isn't one occurrence.
 
-Templates are few and of bounded size (a parameter), so they travel with the tasks. Texts are read whole, in chunks that overlap by the longest window and margins.
+Templates (notices, short texts, and the whole texts of ``license_texts``) are of bounded size (a parameter), and broadcast. Texts are read whole, in chunks that overlap by the longest window and margins.
 
 Defined results: null and empty texts match nothing; overlapping matches of one template in a document are one span; repeated rows each have their matches.
 """
@@ -17,9 +18,10 @@ Defined results: null and empty texts match nothing; overlapping matches of one
 from __future__ import annotations
 
 import re
-import zlib
+from pathlib import Path
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -27,10 +29,10 @@ from .arrow import flat_map
 
 SHINGLE, CONTAINED, HASHES, SEED = 5, 0.8, 32, 7
 #: Words that are handled at once, and documents' words that are gathered up to it.
-CHUNK = 1 << 16
+CHUNK = 1 << 17
 
-#: License notices and texts (fixed values).
-TEMPLATES = {
+#: License notices and short texts (fixed values).
+NOTICES = {
     "all-rights-reserved": "All rights reserved.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
@@ -60,6 +62,13 @@ source code must retain the above copyright notice, this list of conditions and
 the following disclaimer in the documentation and/or other materials provided with the distribution.""",
 }
 
+def full_texts() -> dict[str, str]:
+    """The whole texts of common licenses, from the files of this package."""
+    folder = Path(__file__).with_name("license_texts")
+    return {f"{f.stem} text": f.read_text("utf-8") for f in sorted(folder.glob("*.txt"))}
+
+
+TEMPLATES = NOTICES | full_texts()
 _PUNCTUATION = re.compile(rb"[!-,/:-@\[-`{-~]+")
 _odd = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,8 +86,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def hashes(found: list[bytes]) -> np.ndarray:
     """64-bit hashes of words."""
-    crc = zlib.crc32
-    return mixed(np.fromiter((crc(w) | crc(w, 0x5BD1E995) << 32 for w in found), np.uint64, len(found)))
+    return mixed(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
 
 
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
@@ -98,14 +106,15 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         rng = np.random.default_rng(SEED)
         self.multipliers = rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.names, self.sets, self.lengths = list(templates), [], []
+        self.names, self.sets, self.grams = list(templates), [], []
         self.classes: dict[tuple[int, int], list[int]] = {}
         for i, name in enumerate(self.names):
-            h = hashes(words(templates[name]))
+            tokens = words(templates[name])
+            h = hashes(tokens)
             width = min(SHINGLE, len(h))
             found = shingles(h, width)
             self.sets.append(np.unique(found))
-            self.lengths.append(len(h))
+            self.grams.append(set(zip(*(tokens[k:] for k in range(width)), strict=False)))
             self.classes.setdefault((width, 1 << max(0, len(found) - 1).bit_length()), []).append(i)
         self.bands = {}
         for (width, w), members in self.classes.items():
@@ -122,58 +131,71 @@ class Index:
         self.keys = {c: [np.array(sorted(t), np.uint64) for t in tables] for c, tables in self.bands.items()}
         self.margin = 2 * max((w for _, w in self.classes), default=1) + SHINGLE
 
-    def candidates(self, s: np.ndarray, width: int, w: int) -> set[tuple[int, int]]:
-        """(window's first shingle, template) that share a band."""
-        out: set[tuple[int, int]] = set()
-        step = max(1, w // 4)
-        for k, (table, keys) in enumerate(zip(self.bands[width, w], self.keys[width, w], strict=True)):
-            if w == 1:
-                low = s
-            else:
-                x = s * self.multipliers[k]
-                if step > 1:
-                    x = np.minimum.reduceat(x, np.arange(0, len(x), step))
+    def candidates(self, s: np.ndarray, width: int) -> set[tuple[int, int, int]]:
+        """(window's length, its first shingle, template) that share a band. Minima over the short steps of small windows are reused for the longer ones."""
+        out: set[tuple[int, int, int]] = set()
+        sizes = sorted(w for v, w in self.classes if v == width)
+        for k, m in enumerate(self.multipliers):
+            x, step = s * m, 1
+            for w in sizes:
+                if w == 1:
+                    if not k:
+                        self._look_up(out, s, width, w, 1, 0)
+                    continue
+                longer = max(1, w // 4)
+                if longer > step:
+                    x, step = np.minimum.reduceat(x, np.arange(0, len(x), longer // step)), longer
                 span = min(w // step, len(x))
                 low = x[: len(x) - span + 1].copy()
                 for j in range(1, span):
                     np.minimum(low, x[j : len(x) - span + 1 + j], out=low)
-            if len(keys) <= 4:
-                hit = np.zeros(len(low), bool)
-                for key in keys:
-                    hit |= low == key
-                at = np.flatnonzero(hit)
-            else:
-                at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, low), len(keys) - 1)] == low)
-            for a in at.tolist():
-                out.update((a * step, i) for i in table[int(low[a])])
+                self._look_up(out, low, width, w, step, k)
         return out
 
-    def matches(self, h: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """Word hashes -> (template, first word, end, containment) of every verified window, by text; ``starts``: of the texts."""
+    def _look_up(self, out: set, low: np.ndarray, width: int, w: int, step: int, band: int) -> None:
+        table, keys = self.bands[width, w][band], self.keys[width, w][band]
+        if len(keys) <= 4:
+            hit = np.zeros(len(low), bool)
+            for key in keys:
+                hit |= low == key
+            at = np.flatnonzero(hit)
+        else:
+            at = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, low), len(keys) - 1)] == low)
+        for a in at.tolist():
+            out.update((w, a * step, i) for i in table[int(low[a])])
+
+    def matches(self, h: np.ndarray, starts: np.ndarray, tokens: list[bytes] | None = None) -> list[tuple[int, int, int, float]]:
+        """Word hashes -> (template, first word, end, containment) of every verified window, by text; ``starts``: of the texts; ``tokens``: the words, which then decide."""
         out = []
-        for (width, w) in self.classes:
+        for width in {v for v, _ in self.classes}:
             s = shingles(h, width)
             if not len(s):
                 continue
-            for at, i in self.candidates(s, width, w):
+            for w, at, i in self.candidates(s, width):
                 begin, end = max(0, at - w // 2), at + w + w // 2
                 first, last = (int(np.searchsorted(starts, x, "right")) for x in (begin, end - 1))
                 edges = [begin, *starts[first:last].tolist(), end]
                 for a, b in zip(edges, edges[1:], strict=False):
                     inside = np.isin(s[a:b], self.sets[i])
                     share = len(np.unique(s[a:b][inside])) / len(self.sets[i])
-                    if share >= CONTAINED:
-                        where = np.flatnonzero(inside)
-                        out.append((i, a + int(where[0]), a + int(where[-1]) + width, share))
+                    if share < CONTAINED:
+                        continue
+                    where = np.flatnonzero(inside)
+                    if tokens is not None:
+                        same = [(k, g) for k in where.tolist() if (g := tuple(tokens[a + k : a + k + width])) in self.grams[i]]
+                        share, where = len({g for _, g in same}) / len(self.grams[i]), [k for k, _ in same]
+                        if share < CONTAINED:
+                            continue
+                    out.append((i, a + int(where[0]), a + int(where[-1]) + width, share))
         return out
 
 
-def scan_words(index: Index, h: np.ndarray, starts: np.ndarray = np.zeros(1, np.int64)) -> list[tuple[int, int, int, float]]:  # noqa: B008
+def scan_words(index: Index, h: np.ndarray, starts: np.ndarray = np.zeros(1, np.int64), tokens: list[bytes] | None = None) -> list[tuple[int, int, int, float]]:  # noqa: B008
     """All spans in the word hashes of one or more texts, chunk by chunk; overlapping ones of a template in a text are joined, with the best share."""
     found, at = [], 0
     while True:
         part = h[at : at + CHUNK + index.margin]
-        found += [(int(np.searchsorted(starts, at + a, "right")), i, at + a, at + b, share) for i, a, b, share in index.matches(part, starts - at)]
+        found += [(int(np.searchsorted(starts, at + a, "right")), i, at + a, at + b, share) for i, a, b, share in index.matches(part, starts - at, None if tokens is None else tokens[at : at + len(part)])]
         at += CHUNK
         if at >= len(h):
             break
@@ -191,17 +213,18 @@ FOUND = [T.StructField("license", T.StringType()), T.StructField("start_word", T
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per document and span: ``keep``, ``license start_word end_word containment`` (words as ``words`` counts them)."""
-    rows, held = docs.select(*keep, text), dict(TEMPLATES if templates is None else templates)
-    gap = hashes([b"\n"] * SHINGLE)
+    rows = docs.select(*keep, text)
+    held = docs.sparkSession.sparkContext.broadcast(dict(TEMPLATES if templates is None else templates))
+    gap = [b"\n"] * SHINGLE
 
     def make():
-        index = Index(held)
+        index = Index(held.value)
 
         def flush(group, parts):
             """Several texts in one pass, parted by words that occur nowhere, so that no shingle reaches across."""
-            joined = np.concatenate([x for p in parts for x in (p, gap)])
+            joined = [x for p in parts for x in (*p, *gap)]
             starts = np.cumsum([0, *(len(p) + len(gap) for p in parts[:-1])])
-            for i, a, b, share in scan_words(index, joined, starts):
+            for i, a, b, share in scan_words(index, hashes(joined), starts, joined):
                 k = int(np.searchsorted(starts, a, "right")) - 1
                 yield (*group[k], index.names[i], a - int(starts[k]), b - int(starts[k]), share)
 
@@ -212,7 +235,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "
                 if not found:
                     continue
                 group.append(row[:-1])
-                parts.append(hashes(found))
+                parts.append(found)
                 size += len(found)
                 if size >= CHUNK:
                     yield from flush(group, parts)

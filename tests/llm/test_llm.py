@@ -202,6 +202,33 @@ def test_rules(spark, data):
     assert len(out) == len(EDGES) and rules.judge(empty(spark)).collect() == []
 
 
+def brute_verdict(rows):
+    """EM over single documents with votes in plain Python; (doc_id -> probability of good)."""
+    names = list(rows[0][1])
+    prior, good, bad = 0.8, dict.fromkeys(names, 0.9), dict.fromkeys(names, 0.7)
+
+    def odds(votes):
+        out = np.log(prior / (1 - prior))
+        for k, v in votes.items():
+            out += np.log(good[k] / (1 - bad[k])) if v > 0 else np.log((1 - good[k]) / bad[k]) if v < 0 else 0
+        return 1 / (1 + np.exp(-out))
+
+    for _ in range(200):
+        p = [odds(v) for _, v in rows]
+        at = {k: [(q, v[k]) for q, (_, v) in zip(p, rows, strict=True) if v[k]] for k in names}
+        good = {k: (sum(q for q, v in at[k] if v > 0) + 8) / (sum(q for q, _ in at[k]) + 10) for k in names}
+        bad = {k: (sum(1 - q for q, v in at[k] if v < 0) + 8) / (sum(1 - q for q, _ in at[k]) + 10) for k in names}
+        prior = min(0.98, max(0.02, (sum(p) + 8) / (len(p) + 10)))
+    return {k: odds(v) for k, v in rows}
+
+
+def test_verdict_against_brute_force(spark, data):
+    df = rules.measure(spark.read.parquet(f"{data}/documents.parquet")).withColumns(rules.votes())
+    want = brute_verdict([(r.doc_id, {k: r[k] for k in rules.votes()}) for r in df.collect()])
+    got = queries.op3_quality_rules(spark, data).collect()
+    assert all(r.quality == pytest.approx(want[r.doc_id], abs=1e-6) and r.kept == (not r.base_failed and r.quality >= 0.5) for r in got)
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20000) < 0.8
@@ -465,6 +492,29 @@ def test_co_training_uses_the_pool():
     assert ((odds > 0) == (y[600:] > 0)).mean() > 0.95
 
 
+def test_pool_sums_cover_all_documents(spark):
+    """The sums over the tasks of a table are those of all its rows at once, and repeated ids of the labelled side count once."""
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(900, 6)).astype(np.float16), rng.normal(size=(900, 4)).astype(np.float16)
+    weights = [rng.normal(size=6) * 2, rng.normal(size=4) * 2]
+    df = spark.createDataFrame([(x.tobytes(), y.tobytes()) for x, y in zip(a, b, strict=True)], "_a binary, _b binary").repartition(7)
+    limits = [(-2.0, 2.5), (-1.5, 2.0)]
+    got = quality.pool_sums(df, weights, limits)
+    want = []
+    for x, w, other, u, (low, high) in ((a, weights[0], b, weights[1], limits[1]), (b, weights[1], a, weights[0], limits[0])):
+        odds = other.astype(float) @ u
+        for label, sure in ((0, odds < low), (1, odds > high)):
+            r = x[sure].astype(float)
+            p = 1 / (1 + np.exp(-r @ w))
+            curve = sum(q * (1 - q) * np.outer(v, v) for q, v in zip(p, r, strict=True))
+            want += [[sure.sum()], sum((q - label) * v for q, v in zip(p, r, strict=True)), curve[np.triu_indices(len(w))]]
+    assert np.allclose(got, np.concatenate(want)) and got[0] > 0
+    assert not quality.pool_sums(df.filter("false"), weights, limits).any()
+    many = spark.range(3000).selectExpr("id % 3 as doc_id", "concat('word ', id % 3, ' text') as text")
+    out = quality.classify(many, spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("quality_score").alias("k")).collect()
+    assert [(r.n, r.k) for r in out] == [(1000, 1)] * 3
+
+
 # 7
 
 
@@ -735,6 +785,33 @@ def test_license_containment():
             assert not found or max(found) == pytest.approx(true)
 
 
+def test_license_recall_with_insertions():
+    """Words inserted anywhere: whatever still holds 0.8 of the shingles is found."""
+    index, rng = licenses.Index(licenses.TEMPLATES), random.Random(9)
+    hits = total = 0
+    for i, name in enumerate(index.names):
+        body = licenses.words(licenses.TEMPLATES[name])
+        if not 20 <= len(body) <= 3000:
+            continue
+        for every in (30, 60, 200):
+            full = [w for word in body for w in ([word, b"inserted"] if rng.randrange(every) == 0 else [word])]
+            full = [b"lorem"] * rng.randrange(200) + full + [b"ipsum"] * rng.randrange(200)
+            true = len({tuple(full[k : k + 5]) for k in range(len(full) - 4)} & index.grams[i]) / len(index.grams[i])
+            if true >= licenses.CONTAINED:
+                found = [x[3] for x in licenses.scan_words(index, licenses.hashes(full), tokens=full) if x[0] == i]
+                total, hits = total + 1, hits + bool(found and max(found) == pytest.approx(true))
+    assert total > 30 and hits == total
+
+
+def test_license_words_decide():
+    """Words whose hashes agree by chance don't make a match."""
+    index = licenses.Index({"t": "one two three four five six seven"})
+    text = licenses.words("one two three four five six seven")
+    h = licenses.hashes(text)
+    assert licenses.scan_words(index, h, tokens=text) and not licenses.scan_words(index, h, tokens=[b"x", *text[1:4], b"y", *text[5:]])
+    assert len({int(x) for x in licenses.hashes([b"plumless", b"buckeroo"])}) == 2
+
+
 def test_license_edges(spark):
     rows = licenses.scan(edges(spark, "license")).collect()
     assert rows == []
