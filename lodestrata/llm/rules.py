@@ -109,7 +109,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[fl
     """
     prior, on_good, on_bad = 0.8, np.full(patterns.shape[1], 0.9), np.full(patterns.shape[1], 0.7)
     up, down = patterns > 0, patterns < 0
-    weight = counts / max(counts.sum(), 1) * min(counts.sum(), 1e6)
+    weight = counts
     for _ in range(rounds):
         p = posterior(patterns, prior, on_good, on_bad)
         g, b = weight * p, weight * (1 - p)
