@@ -4,8 +4,8 @@ Fingerprints: a text's words (A-Z lower-cased), their three-word shingles with r
 a bit is set if it is set in over half the hashes. Equal fingerprints are one node from here on.
 
 Candidates: the fingerprint is mapped to the number of set bits in each of 32 two-bit segments. The Manhattan distance of two such
-vectors never exceeds the Hamming distance of the fingerprints. The 32 counts are dealt to four axes of a grid, eight counts an axis; vectors
-within Manhattan distance 2 differ on at most two axes, so they share the cell of at least one of the six pairs of axes. Points of
+vectors never exceeds the Hamming distance of the fingerprints. The 32 counts are dealt to six axes of a grid, five or six counts an axis; vectors
+within Manhattan distance 2 differ on at most two axes, so they share the cell of at least one of the fifteen fours of axes (about 32 bits, the likeliest value 2 ** -20). Points of
 a shared cell are joined, the Manhattan bound is applied to the whole vectors, and the Hamming distance decides.
 
 A cell with more than ``CROWD`` points is not joined with itself: its points are linked over midpoints instead, which is as exact.
@@ -33,7 +33,10 @@ from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
 CROWD = 64
-AXES = [0xFFFF << (16 * k) for k in range(4)]
+#: Bits of each axis, whole segments each.
+AXES = [((1 << n) - 1) << at for at, n in ((0, 12), (12, 12), (24, 10), (34, 10), (44, 10), (54, 10))]
+#: Axes that vectors within the distance share.
+SHARED = len(AXES) - BITS
 _CHUNK = 1 << 15
 _EACH_BYTE = np.uint64(0x0101010101010101)
 
@@ -98,7 +101,7 @@ def links(points: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Distinct fingerprints ``fp`` -> links (u, v) whose transitive closure joins all within ``BITS`` bits."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     vector = segment_counts(F.col("fp"))
-    faces = [F.struct(F.lit(i).alias("face"), vector.bitwiseAND(F.lit(signed(a | b))).alias("cell")) for i, (a, b) in enumerate(combinations(AXES, 2))]
+    faces = [F.struct(F.lit(i).alias("face"), vector.bitwiseAND(F.lit(signed(sum(axes)))).alias("cell")) for i, axes in enumerate(combinations(AXES, SHARED))]
     placed = points.select("fp", F.explode(F.array(*faces)).alias("c")).select("fp", "c.face", "c.cell")
     shared = materialize(placed.groupBy("face", "cell").agg(F.count("*").alias("n")).filter("n > 1"))
     members = materialize(placed.join(shared, ["face", "cell"]))
