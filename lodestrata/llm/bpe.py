@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import regex
 from pyspark.sql import DataFrame
@@ -173,9 +174,9 @@ class Decoder:
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as it becomes certain, chunk by chunk."""
-        machine, held = Utf8Machine(), list(ids)
-        for at in range(0, len(held), CHUNK):
-            yield machine.feed(b"".join(map(self.bytes_of.__getitem__, held[at : at + CHUNK])))
+        machine, ids = Utf8Machine(), iter(ids)
+        while part := list(islice(ids, CHUNK)):
+            yield machine.feed(b"".join(map(self.bytes_of.__getitem__, part)))
         yield machine.end()
 
     def decode(self, ids: bytes) -> str:
