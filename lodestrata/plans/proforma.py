@@ -107,21 +107,51 @@ def pf08(spark, d):
     return rounded(pf.capex(scenarios(spark, d).filter("funding <> 'pari_passu'")), "spent", "equity_funded", "loan_funded", places=4)
 
 
-@query("pf08_capex_pari_passu")
+_SHARED = """pp(scenario_id, month, e, l, spent, equity_funded, loan_funded) as (select scenario_id, 0, equity_reserve, loan_cap, 0.0::double, 0.0::double, 0.0::double from sc where funding = 'pari_passu'
+ union all select scenario_id, month, e - te, greatest(0, l - tl), spent, te, tl from (select *, case when spent <= 0 or e + l <= 0 then 0 else least(spent - te, l) end as tl from
+ (select pp.scenario_id, cm.month, e, l, cm.spent, case when cm.spent <= 0 or e + l <= 0 then 0 else least(cm.spent * e / (e + l), e) end as te from pp join cm on cm.scenario_id = pp.scenario_id and cm.month = pp.month + 1)))"""
+
+
+@query("pf08_capex_pari_passu", f"with recursive {_S}, {_GRID}, {_CAP}, {_SHARED} select scenario_id, month, {_R(('spent', 'equity_funded', 'loan_funded'))} from pp where month > 0")
 def pf08b(spark, d):
     return rounded(pf.capex(scenarios(spark, d).filter("funding = 'pari_passu'")), "spent", "equity_funded", "loan_funded", places=4)
 
 
-@query("pf11_annual_lines")
+_FLAT = """oi as (select scenario_id, year, 600 * units * f / 12 as other_income from (select *, product(1 + case when year <= 1 then 0 when year = 2 then 0.05::double when year = 3 then 0.025::double else 0.02::double end) over (partition by scenario_id order by year) as f from y)),
+fx as (select scenario_id, month, spent, loan_funded from pp where month > 0 union all select scenario_id, month, spent, case funding when 'loan_first' then da else db end from cd),
+cl as (select *, (bal - loan_funded) * 0.06::double / 12 as capital_interest from (select *, sum(loan_funded) over (partition by scenario_id order by month) as bal from fx)),
+mo as (select g.scenario_id, g.year, g.month, g.calendar_year, g.calendar_month, gpr, rev.l2l, rev.vacancy, rev.concessions, rev.bad_debt, tri, other_income, n.tif_income / 12 as tif_income, tf.property_tax / 12 as property_tax, 5000 * units * 1.03::double ** (g.year - 1) / 12 as opex, spent,
+ d.payment + capital_interest as debt_service, loan_funded as draw, d.ending + bal as balance, tri + other_income + n.tif_income / 12 as egr, amf_pct, reserves_pupy * units / 12 + professional / 12 + mip_pct * d.ending / 12 + case when calendar_month in (2, 8) then surplus_note / 2 else 0 end as rest
+ from g join sc using (scenario_id) join rev on rev.scenario_id = g.scenario_id and rev.year = g.year join oi on oi.scenario_id = g.scenario_id and oi.year = g.year join tf on tf.scenario_id = g.scenario_id and tf.calendar_year = g.calendar_year
+ join n on n.scenario_id = g.scenario_id and n.calendar_year = g.calendar_year join cl on cl.scenario_id = g.scenario_id and cl.month = g.month join d on d.scenario_id = g.scenario_id and d.month = g.month),
+an as (select *, noi - non_operating - spent - debt_service + draw as levered_cf, noi - spent as unlevered_cf, case when debt_service > 0 then noi / debt_service else 0 end as dscr from (
+ select scenario_id, year, min(calendar_year) as calendar_year, sum(gpr) as gpr, sum(l2l) as l2l, sum(vacancy) as vacancy, sum(concessions) as concessions, sum(bad_debt) as bad_debt, sum(tri) as tri, sum(other_income) as other_income, sum(tif_income) as tif_income, sum(egr) as egr,
+ sum(opex) as opex, sum(property_tax) as property_tax, sum(egr - opex - property_tax) as noi, sum(amf_pct * egr + rest) as non_operating, sum(spent) as spent, sum(debt_service) as debt_service, sum(draw) as draw, arg_max(balance, month) as balance_eoy from mo group by 1, 2))"""
+_ALL = f"with recursive {_S}, {_GRID}, {_REV}, {_CAP}, {_SHARED}, {_DEBT}, {_TIF}, {_FLAT}"
+_AC = (*pf.SUMS, "balance_eoy", "levered_cf", "unlevered_cf", "dscr")
+
+
+@query("pf11_annual_lines", f"{_ALL} select scenario_id, year, calendar_year, {_R(_AC, 3)} from an")
 def pf11(spark, d):
-    return pf.annual(pf.monthly(scenarios(spark, d)))
+    return rounded(pf.annual(pf.monthly(scenarios(spark, d))), *_AC, places=3)
 
 
-@query("pf14_returns")
+_BISECT = """cf as (select an.scenario_id, -greatest(0, cost_basis - principal) as e0, -cost_basis as c0, list(levered_cf + case when year = sale_year then net else 0 end order by year) as lv, list(unlevered_cf + case when year = sale_year then gross else 0 end order by year) as un,
+ avg(case when debt_service > 0 then dscr end) as avg_dscr, min(case when debt_service > 0 then dscr end) as min_dscr, max(case when year = 1 then noi end) as noi1 from an join sc using (scenario_id)
+ join (select scenario_id, gross, gross - balance_eoy as net from (select an.scenario_id, balance_eoy, noi * (1 + coalesce(inflation[sale_year + 1], terminal)) / exit_cap * (1 - sale_cost_pct) as gross from an join sc using (scenario_id) where year = sale_year)) x using (scenario_id) group by an.scenario_id, cost_basis, principal),
+fl as (select scenario_id, 'l' as k, list_prepend(e0, lv) as f from cf union all select scenario_id, 'u', list_prepend(c0, un) from cf),
+bi(scenario_id, k, i, lo, hi, up, f) as (select scenario_id, k, 0, -0.9999::double, 10.0::double, low > 0, f from (select *, list_sum(list_transform(f, lambda x, j: x / 0.0001::double ** (j - 1))) as low, list_sum(list_transform(f, lambda x, j: x / 11.0::double ** (j - 1))) as high from fl) where (low > 0) <> (high > 0)
+ union all select scenario_id, k, i + 1, case when same then mid else lo end, case when same then hi else mid end, up, f from (select *, (lo + hi) / 2 as mid, (list_sum(list_transform(f, lambda x, j: x / (1 + (lo + hi) / 2) ** (j - 1))) > 0) = up as same from bi where i < 60)),
+ir as (select scenario_id, max(case when k = 'l' then (lo + hi) / 2 end) as levered_irr, max(case when k = 'u' then (lo + hi) / 2 end) as unlevered_irr from bi where i = 60 group by 1)"""
+_RC = ("levered_irr", "unlevered_irr", "equity_multiple", "avg_dscr", "min_dscr", "yield_on_cost")
+
+
+@query("pf14_returns", f"""{_ALL}, {_BISECT} select scenario_id, round(levered_irr + 1e-7, 5) as levered_irr, round(unlevered_irr + 1e-7, 5) as unlevered_irr, round(coalesce(list_sum(list_filter(lv, lambda x: x > 0)) / nullif(-e0, 0), 0) + 1e-7, 5) as equity_multiple,
+ round(coalesce(avg_dscr, 0) + 1e-7, 5) as avg_dscr, round(coalesce(min_dscr, 0) + 1e-7, 5) as min_dscr, round(coalesce(noi1 / nullif(-c0, 0), 0) + 1e-7, 5) as yield_on_cost from cf left join ir using (scenario_id)""")
 def pf14(spark, d):
     s = scenarios(spark, d)
     years = pf.annual(pf.monthly(s))
-    return pf.returns(s, years, pf.residual(s, years))
+    return rounded(pf.returns(s, years, pf.residual(s, years)), *_RC, places=5)
 
 
 @query("pf13_irr", """with recursive f as (select o_custkey, list(cf order by k) as fl from (select o_custkey, 0 as k, -1.5 * max(o_totalprice) as cf from orders group by 1 union all select o_custkey, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey), o_totalprice / 2 from orders) group by 1),
@@ -138,13 +168,23 @@ def pf13(spark, d):
 PARTNERS = wf.Partnership({"lp": (0.08, "annual"), "gp": (0.0, "annual")}, [("preferred_return", {"lp": 1.0}), ("return_of_capital", {"lp": 1.0, "gp": 1.0}), ("promote", {"lp": 0.7, "gp": 0.3})])
 
 
-@query("pf15_waterfall")
+_TIERS = """wf(scenario_id, period, cl, rl, al, pl, cg, rg, dl, dg) as (select scenario_id, 0, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double, 0.0::double from sc
+ union all select scenario_id, period, cl, rl + tl, al, pl + t1, cg, rg + t2 - tl, t1 + tl + 0.7::double * t3, t2 - tl + 0.3::double * t3 from (select *, case when cash - t1 - t2 > 1e-9 then cash - t1 - t2 else 0 end as t3, case when u + v > 0 then t2 * u / (u + v) else 0 end as tl from (
+ select *, case when cash - t1 > 1e-9 then least(cash - t1, u + v) else 0 end as t2 from (select *, case when cash > 1e-9 then least(cash, greatest(0, al - pl)) else 0 end as t1 from (
+ select *, greatest(0, cl - rl) as u, greatest(0, cg - rg) as v, oa + greatest(0, cl - rl) * 0.08::double as al from (select wf.scenario_id, an.year as period, wf.cl + case when an.year = 1 then cost_basis * 0.3::double * 0.9::double else 0 end as cl, rl, wf.al as oa, pl,
+ wf.cg + case when an.year = 1 then cost_basis * 0.3::double * 0.1::double else 0 end as cg, rg, greatest(levered_cf, 0) as cash from wf join an on an.scenario_id = wf.scenario_id and an.year = wf.period + 1 join sc on sc.scenario_id = wf.scenario_id))))))"""
+_WC = ("contributed", "distributed", "unpaid_pref", "unreturned_capital", "unrecouped_escrow")
+
+
+@query("pf15_waterfall", f"""{_ALL}, {_TIERS} select scenario_id, period::int as period, class_id, {_R(_WC, 3)} from (
+ select scenario_id, period, 'lp' as class_id, cl as contributed, dl as distributed, greatest(0, al - pl) as unpaid_pref, greatest(0, cl - rl) as unreturned_capital, 0.0::double as unrecouped_escrow from wf where period > 0
+ union all select scenario_id, period, 'gp', cg, dg, 0, greatest(0, cg - rg), 0 from wf where period > 0)""")
 def pf15(spark, d):
     s = scenarios(spark, d)
     cash = pf.annual(pf.monthly(s)).select("scenario_id", F.col("year").alias("period"), F.greatest("levered_cf", F.lit(0.0)).alias("distributable"))
     basis = s.select("scenario_id", (F.col("cost_basis") * 0.3).alias("b"))
     first = lambda share: F.when(F.col("period") == 1, F.col("b") * share).otherwise(0.0)
-    return wf.waterfall(cash.join(basis, "scenario_id").withColumns({"contributed_lp": first(0.9), "contributed_gp": first(0.1)}), PARTNERS)
+    return rounded(wf.waterfall(cash.join(basis, "scenario_id").withColumns({"contributed_lp": first(0.9), "contributed_gp": first(0.1)}), PARTNERS), *_WC, places=3)
 
 
 @query("agg36_roster_totals", """select p_brand as scenario_id, sum(p_size)::bigint as units, sum(p_size * 800.0::double) as square_feet, round(sum(p_size * p_retailprice) + 1e-7, 2) as monthly_rent, round(sum(p_size * p_retailprice) / sum(p_size) + 1e-7, 4) as avg_rent from part group by 1""")
