@@ -1,7 +1,10 @@
 """The corpus pipeline: documents in, a deduplicated, mixed and encoded corpus out.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's ``docs``.
-All but the last return the columns of ``documents``.
+All but the last return the columns of ``documents``; other columns of the input, whatever their names, are not passed on.
+
+Nulls, empty texts, repeated rows and ties follow the operators' rules: the classifier scores an empty text like any other; line dedup leaves null and empty texts as they are;
+near-dedup takes texts without words as one group and keeps one row of them; the mix takes documents without words never or as the integer boundaries fall; encoding gives them no ids. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring templates are cut out; a document of which nothing is left goes."""
-    cut = lines.dedup_lines(docs)
+    cut = lines.dedup_lines(docs, least_tokens=1)
     return _sized(cut.filter((F.col("n_dropped") == 0) | (F.trim("text") != ""))).select(COLUMNS)
 
 
@@ -40,8 +43,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     best = materialize(first.groupBy("root").agg(F.min(F.struct("_k", "_th")).alias("b"), F.count("*").alias("n")).select("b._k", "b._th", "n"))
     kept = marked.join(best.select("_k", "_th"), ["_k", "_th"], "left_semi")
-    if not best.filter("n > 1").isEmpty():  # repeated ids: equal rows are still there
-        kept = kept.dropDuplicates(["_k", "_th"])
+    if not best.filter("n > 1").isEmpty():  # repeated ids: rows of one text are still there, of which the least stays
+        order = ["lang", "source", "n_chars", "doc_id", "text"]
+        kept = kept.groupBy("_k", "_th").agg(F.min(F.struct(*order)).alias("row")).select("row.*")
     return kept.select(COLUMNS)
 
 

@@ -185,7 +185,7 @@ def sc02(spark, d):
     return raw.select("p_partkey", F.col("n").try_cast("int").alias("n"), F.col("x").try_cast("double").alias("x"))
 
 
-@query("jn05_search_scored_by_word", """select property_id, property_name, market, num_units, 1 as has_scores from property where property_name like '%widget%' and num_units >= 5 and property_id in (select property_id from zscore)""")
+@query("jn05_search_scored_by_word", """select property_id, property_name, market, num_units, 1 as has_scores from property where property_name like '%widget%' and num_units >= 5 and property_id in (select property_id from zscore) order by num_units desc nulls last, property_id limit 50""")
 def jn05_rows(spark, d):
     from ..sources import surrogates as src
     from .warehouse import zscores
