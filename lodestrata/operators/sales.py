@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import beside, quantiles
+
 #: What a search may be sorted by (fixed values).
 SORTS = {"sale_date": "sale_date", "sale_price": "sale_price", "cap_rate": "cap_rate_actual", "ppu": "price_per_unit", "units": "num_units", "market": "market"}
 MOST_ROWS = 500
@@ -58,29 +60,33 @@ def comps(sales: DataFrame, market: str, num_units: int | None = None, year_buil
     return sales.filter(wanted).orderBy(F.desc("sale_date"), "transaction_id").limit(limit)
 
 
-def _quartiles(value: str, prefix: str) -> list[Column]:
-    return [F.percentile(value, F.lit(p)).alias(f"{prefix}_{n}") for n, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))]
+def _in_sets(rows: DataFrame, columns: list[str], sets: dict[int, list[str]]) -> DataFrame:
+    """Every row once a grouping set, whose number is ``g``; columns outside the set are null."""
+    out = rows.withColumn("g", F.explode(F.array(*map(F.lit, sets))))
+    return out.withColumns({c: F.when(F.col("g").isin(*[g for g, within in sets.items() if c in within]), F.col(c)) for c in columns})
 
 
 def cap_rate_cube(sales: DataFrame) -> DataFrame:
     """Cap-rate aggregates at three granularities, from one pass over the sales with grouping sets."""
     rates = sales.filter("cap_rate_actual is not null").select("market", "asset_class", F.col("sale_year").cast("string").alias("year"), F.col("sale_quarter").alias("quarter"), "cap_rate_actual")
     cols = ["market", "asset_class", "year", "quarter"]
-    grouped = rates.groupingSets([["market", "asset_class", "year"], ["asset_class", "year"], ["quarter"]], *cols).agg(
-        F.grouping_id().alias("g"), F.count("cap_rate_actual").alias("n_deals"), F.avg("cap_rate_actual").alias("cap_rate_mean"), F.stddev_samp("cap_rate_actual").alias("cap_rate_std"), *_quartiles("cap_rate_actual", "cap_rate")
-    )
-    kind = lambda a, b, c: F.when(F.col("g") == 0b0001, a).when(F.col("g") == 0b1001, b).otherwise(c)
+    rows = _in_sets(rates, cols, {0: ["market", "asset_class", "year"], 1: ["asset_class", "year"], 2: ["quarter"]})
+    grouped = rows.groupBy("g", *cols).agg(F.count("cap_rate_actual").alias("n_deals"), F.avg("cap_rate_actual").alias("cap_rate_mean"), F.stddev_samp("cap_rate_actual").alias("cap_rate_std"))
+    shares = {f"cap_rate_{n}": ("cap_rate_actual", p) for n, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))}
+    grouped = beside(grouped, quantiles(rows, ["g", *cols], shares), ["g", *cols], "left")
+    kind = lambda a, b, c: F.when(F.col("g") == 0, a).when(F.col("g") == 1, b).otherwise(c)
     return grouped.select("market", "asset_class", F.coalesce("year", "quarter").alias("period"), kind("year", "year", "quarter").alias("period_type"), kind("market", "national_by_class", "national").alias("granularity"),
                           "n_deals", "cap_rate_median", "cap_rate_mean", "cap_rate_std", "cap_rate_p25", "cap_rate_p75")
 
 
 def pricing_cube(sales: DataFrame) -> DataFrame:
     """Pricing aggregates by year: national, by market, by market and class."""
-    grouped = sales.groupingSets([["market", "building_class", "sale_year"], ["market", "sale_year"], ["sale_year"]], "market", "building_class", "sale_year").agg(
-        F.grouping_id().alias("g"), F.count("*").alias("n_deals"), F.sum("sale_price").alias("total_volume"), F.percentile("sale_price", F.lit(0.5)).alias("median_price"), F.avg("price_per_unit").alias("mean_ppu"), *[
-            F.percentile("price_per_unit", F.lit(p)).alias(n) for n, p in (("median_ppu", 0.5), ("p25_ppu", 0.25), ("p75_ppu", 0.75))]
-    )
-    kind = F.when(F.col("g") == 0, "market_by_class").when(F.col("g") == 0b010, "market").otherwise("national")
+    cols = ["market", "building_class", "sale_year"]
+    rows = _in_sets(sales.select(*cols, "sale_price", "price_per_unit"), cols, {0: cols, 1: ["market", "sale_year"], 2: ["sale_year"]})
+    grouped = rows.groupBy("g", *cols).agg(F.count("*").alias("n_deals"), F.sum("sale_price").alias("total_volume"), F.avg("price_per_unit").alias("mean_ppu"))
+    shares = {"median_price": ("sale_price", 0.5), "median_ppu": ("price_per_unit", 0.5), "p25_ppu": ("price_per_unit", 0.25), "p75_ppu": ("price_per_unit", 0.75)}
+    grouped = beside(grouped, quantiles(rows, ["g", *cols], shares), ["g", *cols], "left")
+    kind = F.when(F.col("g") == 0, "market_by_class").when(F.col("g") == 1, "market").otherwise("national")
     return grouped.withColumn("granularity", kind).drop("g")
 
 
@@ -115,11 +121,12 @@ def market_summary(sales: DataFrame, by: list[str]) -> DataFrame:
     """Deals, volumes, medians and years of each group of priced sales."""
     priced = sales.filter("sale_price is not null")
     aggs = [
-        F.count("*").alias("deals"), F.count("cap_rate_actual").alias("has_cap_rate"), F.bround(F.percentile("sale_price", F.lit(0.5))).cast("long").alias("median_price"),
-        whole_sum("sale_price").alias("total_volume"), F.percentile("cap_rate_actual", F.lit(0.5)).alias("median_cap_rate"),
-        F.percentile("price_per_unit", F.lit(0.5)).alias("median_ppu"), F.min("sale_year").alias("min_year"), F.max("sale_year").alias("max_year"),
+        F.count("*").alias("deals"), F.count("cap_rate_actual").alias("has_cap_rate"), whole_sum("sale_price").alias("total_volume"),
+        F.min("sale_year").alias("min_year"), F.max("sale_year").alias("max_year"),
     ]
-    return priced.groupBy(*by).agg(*aggs)
+    medians = quantiles(priced, by, {"median_price": ("sale_price", 0.5), "median_cap_rate": ("cap_rate_actual", 0.5), "median_ppu": ("price_per_unit", 0.5)})
+    out = beside(priced.groupBy(*by).agg(*aggs), medians, by, "left").withColumn("median_price", F.bround("median_price").cast("long"))
+    return out.select(*by, "deals", "has_cap_rate", "median_price", "total_volume", "median_cap_rate", "median_ppu", "min_year", "max_year")
 
 
 def top_players(sales: DataFrame, side: str, most: int = 10) -> DataFrame:
