@@ -73,14 +73,19 @@ def gaps(leases: DataFrame, order: tuple[str, ...] = ("lease_start", "lease_id",
 
 
 def downtime(gap_rows: DataFrame, by: list[str]) -> DataFrame:
-    """Median, mean, quartiles and the mean without a tenth at either end (from four gaps on)."""
-    place, whole = Window.partitionBy(*by).orderBy("gap"), Window.partitionBy(*by)
-    ranked = gap_rows.withColumns({"_r": F.row_number().over(place), "_n": F.count("*").over(whole)})
+    """Median, mean, quartiles and the mean without a tenth at either end (from four gaps on).
+
+    Gaps are whole days within [-30, 540], so a group has at most 571 counted rows, however many leases it has.
+    """
+    counted = gap_rows.groupBy(*by, "gap").agg(F.count("*").alias("_c"))
+    place, whole = Window.partitionBy(*by).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
+    ranked = counted.withColumns({"_to": F.sum("_c").over(place), "_n": F.sum("_c").over(whole)})
     cut = F.when(F.col("_n") >= 4, F.greatest(F.lit(1), F.floor(F.col("_n") * 0.1))).otherwise(0)
-    inside = (F.col("_r") > cut) & (F.col("_r") <= F.col("_n") - cut)
+    inside = F.greatest(F.lit(0), F.least("_to", F.col("_n") - cut) - F.greatest(F.col("_to") - F.col("_c"), cut))
+    share = lambda p, name: F.percentile("gap", F.lit(p), F.col("_c")).alias(name)
     return ranked.groupBy(*by).agg(
-        F.percentile("gap", F.lit(0.5)).alias("median_days"), F.avg("gap").alias("mean_days"), F.percentile("gap", F.lit(0.75)).alias("p75_days"), F.percentile("gap", F.lit(0.9)).alias("p90_days"),
-        F.count("*").alias("n_turns"), F.avg(F.when(inside, F.col("gap"))).alias("trimmed_mean"),
+        share(0.5, "median_days"), (F.sum(F.col("gap") * F.col("_c")) / F.sum("_c")).alias("mean_days"), share(0.75, "p75_days"), share(0.9, "p90_days"),
+        F.sum("_c").alias("n_turns"), F.try_divide(F.sum(F.col("gap") * inside), F.sum(inside)).alias("trimmed_mean"),
     )
 
 
