@@ -208,14 +208,30 @@ def match_properties(documents: DataFrame, properties: DataFrame, threshold: flo
 
 
 def containment_match(left: DataFrame, right: DataFrame, least: int = 4) -> DataFrame:
-    """Exact name, else one name inside the other with an overlap of at least four characters, longest first. ``right`` is the smaller side."""
-    a, b = left.select("id", F.lower(F.trim("name")).alias("x")), right.select(F.col("id").alias("rid"), F.lower(F.trim("name")).alias("y"))
+    """Exact name, else one name inside the other with an overlap of at least four characters, longest first; ties go to the least id.
+
+    Names are compared once each. All pieces of ``least`` characters of a name occur in whatever contains it, so a name is looked up by
+    the one of its pieces that the fewest names of the other side have; one with a piece that none has is inside none.
+    """
+    a = left.select("id", F.lower(F.trim("name")).alias("x"))
+    b = right.select(F.col("id").alias("rid"), F.lower(F.trim("name")).alias("y")).groupBy("y").agg(F.min("rid").alias("rid"))
     exact = a.join(b, a["x"] == b["y"]).groupBy("id").agg(F.min("rid").alias("matched")).withColumn("how", F.lit("exact"))
     rest = a.join(exact, "id", "left_anti")
-    word = lambda df, c, key: df.select(key, c, F.explode(F.array_distinct(F.split(c, " "))).alias("w")).filter(F.length("w") >= 1)
-    near = word(rest, "x", "id").join(word(b, "y", "rid"), "w").filter(F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x")))
-    near = near.withColumn("o", F.least(F.length("x"), F.length("y"))).filter(F.col("o") >= least)
-    best = near.groupBy("id").agg(F.max(F.struct("o", (-F.col("rid")).alias("r")))["r"].alias("_r")).select("id", (-F.col("_r")).alias("matched"), F.lit("contains").alias("how"))
+
+    def pieces(names: DataFrame, c: str) -> DataFrame:
+        every = F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substr(c, i, F.lit(least)))
+        return names.select(c).filter(F.length(c) >= least).distinct().select(c, F.explode(F.array_distinct(every)).alias("g"))
+
+    def inside(short: DataFrame, s: str, long: DataFrame, n: str) -> DataFrame:
+        held = pieces(long, n)
+        asked = pieces(short, s).join(held.groupBy("g").agg(F.count("*").alias("n")), "g", "left")
+        rarest = asked.groupBy(s).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r")).filter("r.n > 0").select(s, F.col("r.g").alias("g"))
+        return rarest.join(held, "g").filter(F.contains(n, s)).select("x", "y")
+
+    near = inside(b, "y", rest, "x").union(inside(rest, "x", b, "y")).distinct()
+    near = near.join(b, "y").withColumn("o", F.least(F.length("x"), F.length("y")))
+    found = near.groupBy("x").agg(F.max(F.struct("o", (-F.col("rid")).alias("r")))["r"].alias("_r"))
+    best = rest.join(found, "x").groupBy("id").agg(F.max("_r").alias("_r")).select("id", (-F.col("_r")).alias("matched"), F.lit("contains").alias("how"))
     return exact.unionByName(best)
 
 
@@ -229,9 +245,18 @@ def monthly_usage(log: DataFrame) -> DataFrame:
 
 
 def rate_limit(log: DataFrame, seconds: int = 60, most: int = 30) -> DataFrame:
-    """Requests an organisation made in the minute that ends with each event, and whether that is within the limit."""
-    w = Window.partitionBy("org_id").orderBy(F.col("created_at").cast("timestamp").cast("long")).rangeBetween(-(seconds - 1), 0)
-    return log.withColumn("in_window", F.count("*").over(w)).withColumn("allowed", F.col("in_window") <= most)
+    """Requests an organisation made in the minute that ends with each event, and whether that is within the limit.
+
+    Time is cut into spans of one window; events count in their own span and, as counts by second, in the next, so a busy organisation is many tasks.
+    """
+    timed = log.withColumn("_t", F.col("created_at").cast("timestamp").cast("long"))
+    counts = timed.groupBy("org_id", "_t").agg(F.count("*").alias("_c"))
+    span = F.floor(F.col("_t") / seconds)
+    both = counts.select("org_id", "_t", "_c", F.explode(F.array(span, span + 1)).alias("_s"))
+    w = Window.partitionBy("org_id", "_s").orderBy("_t").rangeBetween(-(seconds - 1), 0)
+    within = both.withColumn("in_window", F.sum("_c").over(w)).filter(F.col("_s") == span).select(F.col("org_id").alias("_o"), F.col("_t").alias("_at"), "in_window")
+    same = F.col("org_id").eqNullSafe(F.col("_o")) & F.col("_t").eqNullSafe(F.col("_at"))
+    return timed.join(within, same).select(*[timed[c] for c in log.columns], "in_window").withColumn("allowed", F.col("in_window") <= most)
 
 
 def over_limit(monthly: DataFrame, plans: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import labels
 from lodestrata.functions import text as tx
+from lodestrata.functions.quantiles import quantiles
 from lodestrata.operators import inventory, leases, portfolio, proforma, scorecard, search, waterfall
 from lodestrata.operators import synthesis as fs
 from lodestrata.sources import documents, warehouse
@@ -206,6 +207,38 @@ def test_matching(spark):
     assert {(r.id, r.matched, r.how) for r in portfolio.containment_match(a, b).collect()} == {(1, 5, "contains"), (2, 6, "exact")}
 
 
+def test_containment_inside_words_and_of_hot_names(spark):
+    """A name inside a word counts, the longest wins, ties go to the least id, and a word that all names share links none by itself."""
+    a = [(1, "Oakwood"), (2, "wood"), (3, "Elm Apartments West"), (4, None), (5, "elm")] + [(k, f"Apartments {k}") for k in range(100, 400)]
+    b = [(10, "wood"), (11, "Wood"), (12, "oak"), (13, "apartments west"), (14, "Apartments"), (15, None), (16, "Big Elm")]
+    left, right = spark.createDataFrame(a, "id int, name string"), spark.createDataFrame(b, "id int, name string")
+
+    def brute(x):
+        exact = [r for r, y in b if x and y and x.lower() == y.lower()]
+        if exact:
+            return min(exact), "exact"
+        inside = [(-min(len(x), len(y)), r) for r, y in b if x and y and min(len(x), len(y)) >= 4 and (x.lower() in y.lower() or y.lower() in x.lower())]
+        return (min(inside)[1], "contains") if inside else None
+
+    want = {k: brute(x) for k, x in a if brute(x)}
+    assert {r.id: (r.matched, r.how) for r in portfolio.containment_match(left, right).collect()} == want
+
+
+def test_quantiles_match_the_percentile_of_all_values(spark):
+    rows = [("a", float(k % 97) ** 3) for k in range(3000)] + [(None, 1.0), (None, 4.0), ("b", 7.0), ("b", 7.0), ("c", None), ("d", -5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: tuple(r)[1:] for r in quantiles(df, ["k"], {"low": ("v", 0.25), "mid": ("v", 0.5), "high": ("v", 0.9)}).collect()}
+    want = {r.k: tuple(r)[1:] for r in df.groupBy("k").agg(*[F.percentile("v", F.lit(p)) for p in (0.25, 0.5, 0.9)]).collect()}
+    assert "c" not in got and got == {k: pytest.approx(v) for k, v in want.items() if k != "c"}
+
+
+def test_rate_limit_over_spans(spark):
+    times = [0, 1, 59, 60, 60, 61, 119, 120, 500]
+    log = spark.createDataFrame([(1, k, s) for k, s in enumerate(times)] + [(None, 90, 30)], "org_id long, event_id long, s long").withColumn("created_at", F.timestamp_seconds("s"))
+    got = {r.event_id: r.in_window for r in portfolio.rate_limit(log, 60, 3).collect()}
+    assert got == {k: sum(t - 60 < x <= t for x in times) for k, t in enumerate(times)} | {90: 1}
+
+
 def test_matching_of_hot_keys(spark):
     """A city, number or word of over a thousand properties still links them."""
     p = spark.createDataFrame([(k, f"Name{k:05d}", "12 Main St", "Austin", "TX") for k in range(2500)], "id int, name string, address string, city string, state string")
