@@ -34,4 +34,65 @@ select doc_id, size, source_size, target,
 from p
 """
 
-ORACLES = {"op1_mixing": OP1}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+with d as (
+  select row_number() over () as i, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms
+  from documents
+), t as (select i, lang, source, unnest(terms) as term from d),
+kept as (select lang, term, count(*) as lang_count from t group by lang, term having count(distinct i) >= 30),
+v as (select lang, count(*) as v, sum(lang_count) as n from kept group by lang),
+groups as (select distinct lang, source from d),
+c as (select lang, source, term, count(*) as n from t semi join kept using (lang, term) group by lang, source, term),
+totals as (select g.lang, g.source, coalesce(sum(n), 0) as total from groups g left join c using (lang, source) group by 1, 2),
+cells as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::hugeint) // (total + 5 * v)::hugeint as p,
+         1 + (1000000000 * (lang_count + 5)::hugeint) // (v.n + 5 * v)::hugeint as q
+  from totals g join v using (lang) join kept k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), pairs as (
+  select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+  from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3
+), found as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q)::bigint from cells where n > 0 and p > q
+), ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from found)
+select * from ranked where part = 'pair' or rank <= 50
+"""
+
+# CRC32, bit by bit; only the distinct words are hashed
+_BIT = "case when {0} % 2 = 1 then xor({0} >> 1, 3988292384) else {0} >> 1 end"
+_BYTE = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: " + _BIT.format("x") + ")"
+
+OP12 = f"""
+with d as (
+  select row_number() over () as i, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words from documents
+), w as (select i, unnest(words) as word from d),
+goal as (select unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as word from benchmark),
+bytes as (
+  select word, list_transform(range(octet_length(encode(word))), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::bigint) as b
+  from (select word from w union select word from goal)
+), buckets as (select word, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, b: {_BYTE}), 4294967295) % 10000 as bucket from bytes),
+s as (select bucket, count(*) as s from w join buckets using (word) group by 1),
+t as (select bucket, count(*) as t from goal join buckets using (word) group by 1),
+gain as (
+  select b as bucket, floor(1000 * ln(((coalesce(t, 0) + 1) * ((select count(*) from w) + 10000))::double / ((coalesce(s, 0) + 1) * ((select count(*) from goal) + 10000))::double))::bigint as gain
+  from range(10000) r(b) left join s on s.bucket = b left join t on t.bucket = b
+), weights as (select i, sum(gain)::bigint as weight from w join buckets using (word) join gain using (bucket) group by 1),
+scored as (
+  select i, doc_id, len(words) as n_features, coalesce(weight, 0)::bigint as weight,
+         coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from d left join weights using (i)
+), ranked as (
+  select *, case when n_features >= 20 then row_number() over (partition by n_features >= 20 order by score desc, doc_id) end as r,
+         (select count(*) * 10 // 100 from d where len(words) >= 20) as most
+  from scored
+)
+select doc_id, n_features::bigint as n_features, weight, score, case when r <= most then r end as rank from ranked
+"""
+
+ORACLES = {"op1_mixing": OP1, "op11_divergence": OP11, "op12_resampling": OP12}

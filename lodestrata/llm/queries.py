@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, licenses, lines, mixing, pii, quality, rules, sharding, simhash
+from . import audio, bpe, divergence, licenses, lines, mixing, pii, quality, resampling, rules, secrets, sharding, simhash
 from .common import materialize, table
 
 #: For the registered query only; a production run passes its own secret.
@@ -72,6 +72,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents"), keep=("doc_id",)), ("doc_id",))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -83,4 +95,7 @@ QUERIES = {
     "op8_media": op8_media,
     "op9_lines": op9_lines,
     "op10_licenses": op10_licenses,
+    "op11_divergence": op11_divergence,
+    "op12_resampling": op12_resampling,
+    "op13_secrets": op13_secrets,
 }
