@@ -5,12 +5,13 @@ then the first ``DEPTH`` tokens. Below its leaf, a line is a vector of ``FIELDS`
 (a token a field in short lines) and each field is hashed, so that a line of any length has a vector of one size.
 
 A leaf's general template has in each field what most of its lines have there; a line of the leaf that agrees with it on
-``AGREE`` of the fields is an instance, so fields that vary (names, titles) are generalised. What is left of a leaf gets further templates,
-each from the lines that hold the leaf's commonest varying field, until a template has too few lines to recur (or after ``FAMILIES`` templates). Other lines are templates of their own.
+``AGREE`` of the fields is an instance, so fields that vary (names, titles) are generalised. What is left of a leaf is split by the field in which one value is commonest: the lines of each value that could recur are a
+leaf of their own, with a template of their own, and so are the lines of rarer values together, which disagree with any recurring template there and may do so on as many fields as ``AGREE`` lets vary.
+No field is split twice, so the tree stays of fixed depth and takes at most ``FIELDS`` rounds more, however many templates a leaf holds. Lines that end in no template are templates of their own.
 A template recurs if it occurs in at least ``LEAST_DOCS`` different documents; it stays in the first document that has it (least ``doc_id``)
 and is dropped from all others. Exact and near copies of a document count as one (``representatives``): equal texts do, and texts
 whose sketches, the ``SKETCH`` least hashes of all word pairs of the whole text, agree. A sketch joins the commonest one that has ``WINDOW`` of its ``LEADING`` least hashes in a row, if
-they agree on ``ALIKE`` of the least hashes of both; documents that only share a passage don't. Otherwise every line of a group of copies would recur; such groups are left to near-deduplication.
+they agree on ``ALIKE`` of the least hashes of both; documents that only share a passage don't. What joins what is closed over chains of any length (``components``). Otherwise every line of a group of copies would recur; such groups are left to near-deduplication.
 So boilerplate goes, whether or not a group of copies has it too, and copied texts stay whole.
 
 The texts are read three times and shuffled once (to cut the lines out); all counting is on narrow rows with
@@ -28,11 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
+from .components import components
 
 DEPTH, FIELDS, AGREE = 3, 8, 0.75
 LEAST_DOCS, LEAST_TOKENS = 5, 3
-#: Templates of a leaf at most.
-FAMILIES = 6
 #: Hashes of a sketch, those of them that lead to other sketches, how many of these in a row, and the share that copies agree on.
 SKETCH, LEADING, WINDOW, ALIKE = 32, 16, 2, 0.7
 _NO_ID = (1 << 63) - 1
@@ -46,7 +46,12 @@ def _any(text: Column, *parts: str) -> Column:
 def masked(line: Column, odd: Column, digits: Column) -> Column:
     """The line with blanks squeezed and tokens with a digit replaced by a variable field; the flags say whether its document has any of either."""
     line = F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
-    return F.when(digits, F.regexp_replace(line, r"\S*[0-9]\S*", "<*>")).otherwise(line)
+    return F.when(digits, F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(line)
+
+
+def _variable(line: Column) -> Column:
+    """Whether a masked line has no fixed token."""
+    return F.replace(F.replace(line, F.lit("<*>"), F.lit("")), F.lit(" "), F.lit("")) == ""
 
 
 def _key(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -67,7 +72,7 @@ def occurrences(docs: DataFrame, text: str = "text", least_tokens: int = LEAST_T
         .select("_line_id", "_line_text", F.split(body, "\n").alias("lines"), odd.alias("odd"), body.rlike("[0-9]").alias("digits"))
         .select("_line_id", "_line_text", "odd", "digits", F.posexplode("lines").alias("at", "line"))
         .select("_line_id", "_line_text", "at", "digits", masked(F.col("line"), F.col("odd"), F.col("digits")).alias("line"))
-        .filter((F.col("line") != "") & ~(F.col("digits") & F.col("line").rlike(r"^(?:<\*>| )*$")))
+        .filter((F.col("line") != "") & ~(F.col("digits") & _variable(F.col("line"))))
         .select("_line_id", "_line_text", "at", F.split("line", " ").alias("tokens"))
         .withColumn("n", F.size("tokens"))
         .filter(F.col("n") >= least_tokens)
@@ -84,7 +89,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def representatives(texts: DataFrame) -> DataFrame:
-    """Sketches -> (_line_text, rep) of the texts that count as copies of a commoner one."""
+    """Sketches -> (_line_text, rep) of the texts that count as copies of others: ``rep`` is alike in all texts of a group."""
     window = lambda i: F.xxhash64(F.slice("sketch", i, WINDOW))
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("sketch"), F.lit(LEADING)) - (WINDOW - 1))), window)
     held = materialize(texts.select("_line_text", "c", F.explode(F.array_distinct(windows)).alias("k")))
@@ -98,8 +103,7 @@ def representatives(texts: DataFrame) -> DataFrame:
     alike = F.size(F.array_intersect(least, F.array_intersect("sketch", "other"))) >= ALIKE * F.size(least)
     found = materialize(both.filter(alike).groupBy("_line_text").agg(F.max(F.struct("rc", "rep"))["rep"].alias("rep")))
     # a representative may have one itself
-    above = found.select(F.col("_line_text").alias("rep"), F.col("rep").alias("next"))
-    out = materialize(found.join(above, "rep", "left").select("_line_text", F.coalesce("next", "rep").alias("rep")))
+    out = components(found, "_line_text", "rep").select(F.col("node").alias("_line_text"), F.col("root").alias("rep"))
     for table in (held, leaders, pairs, found):
         discard(table)
     return out
@@ -110,46 +114,58 @@ def _filled() -> Column:
     return F.least("n", F.lit(FIELDS))
 
 
+def _counted(lines: DataFrame, *by: str) -> DataFrame:
+    """How often each value occurs in each field of a leaf."""
+    return lines.select(*by, F.posexplode("fields").alias("f", "v")).groupBy(*by, "f", "v").agg(F.count("*").alias("c"))
+
+
 def _majority(lines: DataFrame) -> DataFrame:
-    """(leaf, fields) -> (leaf, general): in each field what most lines of the leaf have."""
-    counted = lines.select("leaf", F.posexplode("fields").alias("f", "v")).groupBy("leaf", "f", "v").agg(F.count("*").alias("c"))
-    return counted.groupBy("leaf", "f").agg(F.max(F.struct("c", "v"))["v"].alias("v")).groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("general"))
+    """(node, fields) -> (node, general): in each field what most lines of the leaf have."""
+    return _counted(lines, "node").groupBy("node", "f").agg(F.max(F.struct("c", "v"))["v"].alias("v")).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("general"))
 
 
-def _anchored(lines: DataFrame) -> DataFrame:
-    """The lines that hold the commonest value of a field that varies in their leaf; all lines of a leaf where none does."""
-    counted = lines.select("leaf", F.posexplode("fields").alias("f", "v")).groupBy("leaf", "f", "v").agg(F.count("*").alias("c"))
-    values = counted.groupBy("leaf", "f").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "v")).alias("top"))
-    anchors = values.filter("kinds > 1").groupBy("leaf").agg(F.max(F.struct("top.c", "f", "top.v")).alias("a"))
-    return lines.join(materialize(anchors), "leaf", "left").filter(F.col("a").isNull() | (F.get("fields", F.col("a.f")) == F.col("a.v"))).select("leaf", "fields")
+def _split(lines: DataFrame, least_docs: int) -> DataFrame:
+    """Lines -> the same with the leaf that they fall into: by value in the field, not split before, of the commonest value among those that vary. Where none varies they are as good as all rare."""
+    counted = materialize(_counted(lines, "node", "used").filter(F.expr("shiftright(used, f) & 1") == 0))
+    values = counted.groupBy("node", "f").agg(F.count("*").alias("kinds"), F.max("c").alias("c"))
+    best = materialize(values.filter("kinds > 1").groupBy("node").agg(F.max(F.struct("c", "f"))["f"].alias("_f")))
+    common = counted.filter(F.col("c") >= least_docs).join(best.withColumnRenamed("_f", "f"), ["node", "f"]).select("node", F.col("v").alias("_v"), F.lit(True).alias("often"))
+    placed = lines.join(best, "node", "left").withColumn("_v", F.get("fields", F.col("_f"))).join(materialize(common), ["node", "_v"], "left")
+    often = F.coalesce("often", F.lit(False))
+    return placed.select(
+        "_line_id", "_line_text", "at", "leaf", "n", "fields", F.xxhash64("node", "_f", F.when(often, F.col("_v"))).alias("node"),
+        F.col("used").bitwiseOR(F.coalesce(F.expr("shiftleft(1, _f)"), F.lit(0))).alias("used"), F.when(F.col("_f").isNull(), FIELDS).when(often, F.col("rare")).otherwise(F.col("rare") + 1).alias("rare"),
+    )
 
 
 def templates(found: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Occurrences -> (_line_id, _line_text, at, leaf, own): the template of every line of a leaf that has enough lines."""
-    busy = materialize(found.groupBy("leaf").agg(F.count("*").alias("c")).filter(F.col("c") >= least_docs).select("leaf"))
-    # what a join looks up is written before it: both sides are then dealt out anew, and a leaf or template that very many lines share can be split
-    rest = materialize(found.join(busy, "leaf"))
+    filled = _filled()
     # fields without tokens hold none of the agreement
-    empty = F.lit(FIELDS) - _filled()
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(FIELDS - 1)), lambda f: F.col("fields")[f] == F.col("general")[f])) - empty
-    agrees = same >= F.ceil(AGREE * _filled())
-    named = None
-    plain = ("_line_id", "_line_text", "at", "leaf")
-    for family in range(FAMILIES):
-        general = materialize(_majority(rest if family == 0 else _anchored(rest)))
-        tried = materialize(rest.join(general, "leaf").select(*plain, "n", "fields", agrees.alias("mine")))
-        mine = tried.filter("mine").select(*plain, F.lit(family).cast("long").alias("own"))
-        named = mine if named is None else named.unionByName(mine)
+    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(FIELDS - 1)), lambda f: F.col("fields")[f] == F.col("general")[f])) - (F.lit(FIELDS) - filled)
+    least = F.ceil(AGREE * filled)
+    plain, carried = ("_line_id", "_line_text", "at", "leaf"), ("n", "fields", "node", "used", "rare")
+    rest, named = found.withColumns({"node": F.col("leaf"), "used": F.lit(0), "rare": F.lit(0)}), []
+    for depth in range(FIELDS + 1):
+        # what a join looks up is written before it: both sides are then dealt out anew, and a leaf or template that very many lines share can be split
+        busy = materialize(rest.groupBy("node").agg(F.count("*").alias("c")).filter(F.col("c") >= least_docs).select("node"))
+        if depth:  # lines of the first leaves that are too few can't recur
+            named.append(rest.join(busy, "node", "left_anti").select(*plain, F.xxhash64("fields").alias("own")))
+        rest = materialize(rest.join(busy, "node"))
+        general = materialize(_majority(rest))
+        tried = materialize(rest.join(general, "node").select(*plain, *carried, (same >= least).alias("mine")))
+        named.append(tried.filter("mine").select(*plain, F.col("node").alias("own")))
         left = tried.filter(~F.col("mine"))
-        # a leaf whose last template has too few lines to recur gets no further one
-        counts = tried.groupBy("leaf").agg(F.count_if("mine").alias("won"), F.count_if(~F.col("mine")).alias("lost"))
-        go_on = materialize(counts.filter((F.col("lost") >= least_docs) & (F.lit(family == 0) | (F.col("won") >= least_docs))).select("leaf"))
-        own = F.xxhash64("fields").alias("own")
-        if family == FAMILIES - 1 or go_on.isEmpty():
-            return named.unionByName(left.select(*plain, own))
-        named = named.unionByName(left.join(go_on, "leaf", "left_anti").select(*plain, own))
-        rest = materialize(left.join(go_on, "leaf").select(*plain, "n", "fields"))
-    return named
+        many = materialize(left.groupBy("node").agg(F.count("*").alias("c")).filter(F.col("c") >= least_docs).select("node"))
+        if depth == FIELDS or many.isEmpty():
+            named.append(left.select(*plain, F.xxhash64("fields").alias("own")))
+            break
+        named.append(left.join(many, "node", "left_anti").select(*plain, F.xxhash64("fields").alias("own")))
+        split = materialize(_split(left.join(many, "node"), least_docs))
+        able = F.col("rare") <= filled - least
+        named.append(split.filter(~able).select(*plain, F.xxhash64("fields").alias("own")))
+        rest = split.filter(able)
+    return reduce(DataFrame.unionByName, named)
 
 
 def recurring(found: DataFrame, texts: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:

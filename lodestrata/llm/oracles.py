@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of ``lodestrata.llm.queries`` that SQL can express."""
 
+from . import secrets
+
 _CLASS = "length(size::varchar) * 100 + substr(size::varchar, 1, 2)::int"
 
 OP1 = f"""
@@ -95,4 +97,37 @@ scored as (
 select doc_id, n_features::bigint as n_features, weight, score, case when r <= most then r end as rank from ranked
 """
 
-ORACLES = {"op1_mixing": OP1, "op11_divergence": OP11, "op12_resampling": OP12}
+_SECRET_PATTERNS = {k: p.replace("'", "''") for k, p in {**secrets.PATTERNS, "break": secrets.BREAK}.items()}
+_CUT = " union all ".join(
+    f"select r, '{kind}' as kind, unnest(p) as piece, generate_subscripts(p, 1) as i from (select r, string_split(regexp_replace(text, '{p}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) as p from d)" for kind, p in _SECRET_PATTERNS.items()
+)
+_KINDS = "['" + "', '".join(secrets.PATTERNS) + "']"
+_NEAR = f"between 0 and {secrets.REACH}"
+
+# positions are running sums over what is between matches; every part is compared with every other of its scope
+OP13 = f"""
+with d as (select row_number() over () as r, doc_id, replace(coalesce(text, ''), chr(1), chr(2)) as text from documents),
+c as ({_CUT}),
+p as (
+  select r, kind, e - length(piece) as s, e from (select *, sum(length(piece)) over (partition by r, kind order by i)::bigint as e from c)
+  where i % 2 = 0 and (kind <> 'assign' or length(regexp_extract(piece, '{_SECRET_PATTERNS["assign"]}', 2)) >= {secrets.LEAST_VALUE})
+    and (kind <> 'key' or length(piece) = 40 and not contains(piece, '=') and regexp_matches(piece, '[a-z]') and regexp_matches(piece, '[A-Z]') and regexp_matches(piece, '[0-9]'))
+), q as (select *, count(case when kind = 'break' then 1 end) over (partition by r order by s) as scope from p),
+a as (select * from q where kind in {secrets.IDENTIFIERS}), b as (select * from q where kind in {secrets.SECRETS}), h as (select * from q where kind = 'endpoint'),
+pairs as (select r, scope, a.kind as ak, a.s as a_s, a.e as ae, b.kind as bk, b.s as bs, b.e as be from a join b using (r, scope) where greatest(a.s, b.s) - least(a.e, b.e) {_NEAR}),
+tied as (select r, scope, ak as kind, a_s as s, ae as e from pairs union select r, scope, bk, bs, be from pairs),
+ends as (select t.r, t.kind, t.s, t.e, h.s as hs, h.e as he from tied t join h using (r, scope) where greatest(t.s, h.s) - least(t.e, h.e) {_NEAR}),
+told as (
+  select r, kind, s, e from q where kind in {secrets.STRONG} union select r, kind, s, e from tied where kind in {secrets.WEAK} union select r, 'endpoint', hs, he from ends
+), spans as (
+  select r, string_agg(kind || ':' || s || ':' || e, ',' order by s, list_position({_KINDS}, kind), e) as spans,
+         string_agg(case when kind in {secrets.STRONG} then kind || ':' || s || ':' || e end, ',' order by s, list_position({_KINDS}, kind)) as base,
+         count(case when kind = 'assign' then 1 end) as n_assign, count(case when kind = 'access' then 1 end) as n_access, count(case when kind = 'hex' then 1 end) as n_hex
+  from told group by r
+), n as (select r, count(*) as n from (select r from pairs union all select r from ends) group by r)
+select doc_id, coalesce(n_assign, 0)::bigint as n_assign, coalesce(n_access, 0)::bigint as n_access, coalesce(n_hex, 0)::bigint as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n, 0)::bigint as n_links
+from d left join spans using (r) left join n using (r)
+"""
+
+ORACLES = {"op13_secrets": OP13, "op1_mixing": OP1, "op11_divergence": OP11, "op12_resampling": OP12}

@@ -22,6 +22,7 @@ of the input are replaced, as would be columns called ``_pieces _found _made``.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,10 +39,10 @@ _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Patterns in the order in which they are tried; none starts within a run of ASCII letters and digits.
 KINDS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++)*\.[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9-]{0,62}+(?:\.[A-Za-z0-9-]{1,63}+){0,125}\.[A-Za-z]{2,63}",
     "access": r"A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": r"[0-9a-f]{32,64}(?![A-Za-z0-9])",
-    "iban": r"(?=(?:[A-Z ]*[0-9]){12})[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?=(?:[A-Z ]{0,40}[0-9]){10})(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+(?=(?:[ .()-]*[0-9]){8})[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,5}\)?){2,5}(?![0-9A-Za-z])",
@@ -55,20 +56,58 @@ NEEDS = {
 }
 _START = "(?<![A-Za-z0-9])"
 PATTERN = f"{_START}(?:{'|'.join(KINDS.values())})|{NAME}"
-#: Letters and digits that replace each other (fixed values): digits, Latin, Cyrillic, Greek, Hebrew, Arabic, Devanagari, kana.
-POOLS = (
-    "0123456789", "bcdfghjklmnpqrstvwxz", "aeiouy", "àáâãäåèéêëìíîïòóôõöùúûüýāăąēęěīįōőūůű", "çñćčďđķļłńņňřśşšţťźżž",
-    "бвгджзйклмнпрстфхцчшщґ", "аеёиоуыэюяіїє", "βγδζθκλμνξπρστφχψ", "αεηιουω", "άέήίόύώ",
+_PLAIN = (
+    "0123456789", "bcdfghjklmnpqrstvwxz", "aeiouy", "бвгджзйклмнпрстфхцчшщґ", "аеёиоуыэюяіїє", "βγδζθκλμνξπρστφχψ", "αεηιουω", "άέήίόύώ",
     "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "कखगघचछजझटठडढणतथदधनपफबभमयरलवशसह",
     "かきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ", "カキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
 )
+
+
+def _letters_of(low: int, high: int, kind: str = "Ll", among=lambda c: True) -> str:
+    """Letters of a range that are in no pool above: lower-case ones that come back from upper case (``Ll``), or caseless ones (``Lo``). A pool never has both."""
+    fits = lambda c: c.upper() == c if kind == "Lo" else len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c
+    return "".join(c for c in map(chr, range(low, high + 1)) if unicodedata.category(c) == kind and fits(c) and c not in "".join(_PLAIN) and among(c))
+
+
+_VOWELS = lambda c: unicodedata.normalize("NFD", c)[0] in "aeiouyæø"
+#: Letters and digits that replace each other: digits, Latin, Cyrillic, Greek, Hebrew, Arabic, Devanagari, kana (fixed values); then, by code charts, Latin vowels
+#: and consonants with marks, other Cyrillic, Thai, and the consonants of Bengali, Gurmukhi, Gujarati, Oriya, Tamil, Telugu, Kannada and Malayalam.
+POOLS = (
+    *_PLAIN, _letters_of(0xC0, 0x17F, "Ll", _VOWELS) + _letters_of(0x1E00, 0x1EFF, "Ll", _VOWELS), _letters_of(0xC0, 0x24F, "Ll", lambda c: not _VOWELS(c)), _letters_of(0x430, 0x52F), _letters_of(0xE01, 0xE2E, "Lo"),
+    *(_letters_of(block + 0x15, block + 0x39, "Lo") for block in range(0x980, 0xD80, 0x80)),
+)
 #: The sets of pools by number: for names; without vowels told apart, for other entities; for hexadecimal numbers.
 POOL_SETS = (POOLS, ("0123456789", "abcdefghijklmnopqrstuvwxyz"), ("0123456789abcdef",))
 NAMES, PLAIN, HEX = range(3)
 #: Blocks of letters that are one pool each, first and last code point: Hangul syllables, Han characters, Georgian, Armenian.
 BLOCKS = ((0xAC00, 0xD7A3), (0x4E00, 0x9FA5), (0x10D0, 0x10F0), (0x0561, 0x0586))
-#: Letters of scripts that have no pool stay within their row of so many code points.
+#: Letters of other scripts stay within their row of so many code points, where all of it is letters without case and none is in a pool or a block; any other letter is left as it is. So what
+#: a letter may become is always in the same pool, block or row, and no two letters ever share one.
 ROW = 16
+
+
+def _rows() -> list[tuple[int, int]]:
+    """Ranges of whole rows, first and last code point."""
+    taken = {x for c in "".join(POOLS) for x in (c, c.upper())}
+    free = lambda x: unicodedata.category(chr(x)) == "Lo" and chr(x) not in taken and not any(low <= x <= high for low, high in BLOCKS)
+    out: list[tuple[int, int]] = []
+    for first in range(0x100, 0x10000, ROW):
+        if all(map(free, range(first, first + ROW))):
+            out[-1:] = [(out[-1][0], first + ROW - 1)] if out and out[-1][1] == first - 1 else [*out[-1:], (first, first + ROW - 1)]
+    return out
+
+
+ROWS = _rows()
+
+
+def _cases() -> tuple[str, str]:
+    """Upper-case letters and their lower-case ones, of pools and blocks. No other letter has a case here: a Kelvin sign is no K."""
+    every = "".join(POOLS) + "".join(chr(x) for low, high in BLOCKS for x in range(low, high + 1) if chr(x).upper() != chr(x))
+    pairs = [(c.upper(), c) for c in every if c.upper() != c]
+    return "".join(u for u, _ in pairs), "".join(c for _, c in pairs)
+
+
+CASES = _cases()
 ROUNDS = 4
 #: Parts an entity out of its text; a text that has this noncharacter is handled by a slower way.
 MARK = "﷐"
@@ -128,7 +167,8 @@ def _placed(c: Column, pools: Column) -> Column:
         return row(-1 - begin, size, at - 1 - begin)
 
     def outside(code: Column) -> Column:
-        out = F.when((code >= 0x0100) & (code <= 0xFFFF) & c.rlike(r"^\p{L}$"), row(F.floor(code / ROW) * ROW, F.lit(ROW), code % ROW)).otherwise(row(F.lit(0), F.lit(1), F.lit(0)))
+        in_row = F.exists(F.expr(f"array({', '.join(f'struct({low} as low, {high} as high)' for low, high in ROWS)})"), lambda r: code.between(r["low"], r["high"]))
+        out = F.when(in_row, row(F.floor(code / ROW) * ROW, F.lit(ROW), code % ROW)).otherwise(row(F.lit(0), F.lit(1), F.lit(0)))
         for low, high in BLOCKS:
             out = F.when(code.between(low, high), row(F.lit(low), F.lit(high - low + 1), code - low)).otherwise(out)
         return out
@@ -139,7 +179,7 @@ def _placed(c: Column, pools: Column) -> Column:
 
 def permuted(body: Column, secret: Column, pools: Column) -> Column:
     """``body`` with its characters mapped within their pools by the permutation that ``secret`` names; ``pools``: number of the set of pools."""
-    low = lambda c: F.when(F.length(F.lower(c)) == 1, F.lower(c)).otherwise(c)
+    low = lambda c: F.translate(c, *CASES)
 
     def turned(x: Column, n: Column, sign: int) -> Column:
         """The Feistel network (sign 1) or its inverse (-1) on the digits ``x`` of radices ``n``."""
@@ -274,7 +314,7 @@ def anonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         F.when(some, F.arrays_zip(F.col("_found").alias("value"), F.col("_made").alias("surrogate"))).alias("_pairs"),
     ))
     twice = collisions(out.select(F.explode("_pairs").alias("p")).select("p.value", "p.surrogate"))
-    if not twice.isEmpty():
+    if not twice.isEmpty():  # can't be by construction
         discard(out)
         raise RuntimeError("two entities have one surrogate")
     return out.drop("_pairs")
