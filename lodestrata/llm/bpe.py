@@ -8,8 +8,8 @@ up to all live boundaries agree are certain whatever follows, so they are emitte
 the rest is the next state. The rest stays below twice the longest token: that is the bounded lookahead.
 This is exact because a stretch of a valid BPE encoding is itself the encoding of its bytes.
 
-Each match of the split pattern is encoded by itself. Matches seen before are answered from a
-bounded cache of two generations, and so are transitions; what falls out is built again when it is needed.
+Each match of the split pattern is encoded by itself, some ``MATCHES`` of them at a time, so a very long text is never a list of all its matches. Matches seen before are answered from a
+bounded cache of two generations, and so are transitions; both are trimmed within a text too, and what falls out is built again when it is needed.
 
 Decoding is a stream: ids are turned to bytes chunk by chunk and an incremental UTF-8 machine, whose state is
 the begun character (at most three bytes), emits whole characters. What can't become a character turns into U+FFFD.
@@ -34,6 +34,8 @@ from .arrow import flat_map
 PIECES_HELD = 100_000
 STEPS_HELD = 100_000
 CHUNK = 4096
+#: Characters of a text up to which its matches are listed at once, matches taken at once from a longer one, and bytes of a match after which transitions are trimmed.
+LISTED, MATCHES, TRIMMED = 1 << 20, 1 << 16, 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -118,10 +120,13 @@ class Transducer:
         if data in self.code:
             return self.code[data]
         out, rest, steps = [], b"", self.steps
-        for k in range(len(data)):
-            emitted, rest = steps[rest + data[k : k + 1]]
-            if emitted:
-                out.append(emitted)
+        for at in range(0, len(data), TRIMMED):
+            for k in range(at, min(at + TRIMMED, len(data))):
+                emitted, rest = steps[rest + data[k : k + 1]]
+                if emitted:
+                    out.append(emitted)
+            if at:
+                self.trim()
         out.append(self.ends[rest])
         return b"".join(out)
 
@@ -132,14 +137,20 @@ class Transducer:
 
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.transducer = Transducer(ranks)
         self.pieces = _Generations(lambda piece: self.transducer.run(piece.encode("utf-8", "surrogatepass")))
 
-    def encode(self, text: str) -> bytes:
+    def _encoded(self, matches: list[str]) -> bytes:
         self.pieces.trim(PIECES_HELD)
         self.transducer.trim()
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        return b"".join(map(self.pieces.__getitem__, matches))
+
+    def encode(self, text: str) -> bytes:
+        if len(text) <= LISTED:
+            return self._encoded(self.pattern.findall(text))
+        matches = (m[0] for m in self.pattern.finditer(text))
+        return b"".join(iter(lambda: self._encoded(list(islice(matches, MATCHES))), b""))
 
 
 class Utf8Machine:

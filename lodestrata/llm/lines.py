@@ -43,10 +43,10 @@ def _any(text: Column, *parts: str) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(p)) for p in parts))
 
 
-def masked(line: Column, odd: Column, digits: Column) -> Column:
-    """The line with blanks squeezed and tokens with a digit replaced by a variable field; the flags say whether its document has any of either."""
-    line = F.when(odd, F.trim(F.regexp_replace(line, r"\s+", " "))).otherwise(line)
-    return F.when(digits, F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(line)
+def masked(text: Column, odd: Column, digits: Column) -> Column:
+    """The text with each line's blanks squeezed and its tokens with a digit replaced by a variable field; the flags say whether the text has any of either."""
+    text = F.when(odd, F.regexp_replace(F.regexp_replace(text, r"[\s&&[^\n]]+", " "), r"(?md)^ | $", "")).otherwise(text)
+    return F.when(digits, F.regexp_replace(text, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", "<*>")).otherwise(text)
 
 
 def _variable(line: Column) -> Column:
@@ -65,19 +65,18 @@ def occurrences(docs: DataFrame, text: str = "text", least_tokens: int = LEAST_T
     """Keyed documents -> (_line_id, _line_text, at, leaf, n, fields) of every line with enough tokens."""
     bound = lambda b: F.floor(b * F.col("n") / FIELDS).cast("int")
     field = lambda b: F.hash(F.slice("tokens", bound(F.lit(b)) + 1, bound(F.lit(b + 1)) - bound(F.lit(b))))
-    body = F.col(text)
+    body = F.col("body")
     odd = _any(body, "  ", "\t", "\r", "\f", "\x0b", " \n", "\n ") | body.startswith(" ") | body.endswith(" ")
-    return (
-        docs.filter(F.col(text).isNotNull())
-        .select("_line_id", "_line_text", F.split(body, "\n").alias("lines"), odd.alias("odd"), body.rlike("[0-9]").alias("digits"))
-        .select("_line_id", "_line_text", "odd", "digits", F.posexplode("lines").alias("at", "line"))
-        .select("_line_id", "_line_text", "at", "digits", masked(F.col("line"), F.col("odd"), F.col("digits")).alias("line"))
+    lines = (
+        docs.filter(F.col(text).isNotNull()).select("_line_id", "_line_text", F.col(text).alias("body"))
+        .select("_line_id", "_line_text", "body", odd.alias("odd"), body.rlike("[0-9]").alias("digits"))
+        .select("_line_id", "_line_text", "digits", F.posexplode(F.split(masked(body, F.col("odd"), F.col("digits")), "\n")).alias("at", "line"))
         .filter((F.col("line") != "") & ~(F.col("digits") & _variable(F.col("line"))))
         .select("_line_id", "_line_text", "at", F.split("line", " ").alias("tokens"))
         .withColumn("n", F.size("tokens"))
-        .filter(F.col("n") >= least_tokens)
-        .select("_line_id", "_line_text", "at", F.xxhash64("n", F.slice("tokens", 1, DEPTH)).alias("leaf"), "n", F.array(*[field(b) for b in range(FIELDS)]).alias("fields"))
     )
+    lines = lines.filter(F.col("n") >= least_tokens) if least_tokens > 1 else lines
+    return lines.select("_line_id", "_line_text", "at", F.xxhash64("n", F.slice("tokens", 1, DEPTH)).alias("leaf"), "n", F.array(*[field(b) for b in range(FIELDS)]).alias("fields"))
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -124,18 +123,26 @@ def _majority(lines: DataFrame) -> DataFrame:
     return _counted(lines, "node").groupBy("node", "f").agg(F.max(F.struct("c", "v"))["v"].alias("v")).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("f", "v"))).alias("general"))
 
 
-def _split(lines: DataFrame, least_docs: int) -> DataFrame:
-    """Lines -> the same with the leaf that they fall into: by value in the field, not split before, of the commonest value among those that vary. Where none varies they are as good as all rare."""
+def _split(lines: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    """Lines that have no template yet -> (those that go on, with the leaf that they fall into, and the rest).
+
+    A leaf with enough lines is split by value in the field, not split before, of the commonest value among those that vary.
+    """
     counted = materialize(_counted(lines, "node", "used").filter(F.expr("shiftright(used, f) & 1") == 0))
-    values = counted.groupBy("node", "f").agg(F.count("*").alias("kinds"), F.max("c").alias("c"))
-    best = materialize(values.filter("kinds > 1").groupBy("node").agg(F.max(F.struct("c", "f"))["f"].alias("_f")))
-    common = counted.filter(F.col("c") >= least_docs).join(best.withColumnRenamed("_f", "f"), ["node", "f"]).select("node", F.col("v").alias("_v"), F.lit(True).alias("often"))
-    placed = lines.join(best, "node", "left").withColumn("_v", F.get("fields", F.col("_f"))).join(materialize(common), ["node", "_v"], "left")
-    often = F.coalesce("often", F.lit(False))
-    return placed.select(
-        "_line_id", "_line_text", "at", "leaf", "n", "fields", F.xxhash64("node", "_f", F.when(often, F.col("_v"))).alias("node"),
-        F.col("used").bitwiseOR(F.coalesce(F.expr("shiftleft(1, _f)"), F.lit(0))).alias("used"), F.when(F.col("_f").isNull(), FIELDS).when(often, F.col("rare")).otherwise(F.col("rare") + 1).alias("rare"),
-    )
+    fields = counted.groupBy("node", "f").agg(F.count("*").alias("kinds"), F.max("c").alias("c"), F.sum("c").alias("lines")).filter((F.col("kinds") > 1) & (F.col("lines") >= least_docs))
+    # what a join looks up is written before it: both sides are then dealt out anew, and a leaf or template that very many lines share can be split
+    best = materialize(fields.groupBy("node").agg(F.max(F.struct("c", "f"))["f"].alias("_f")))
+    common = materialize(counted.filter(F.col("c") >= least_docs).join(best.withColumnRenamed("_f", "f"), ["node", "f"]).select("node", F.col("v").alias("_v"), F.lit(True).alias("often")))
+    placed = lines.join(best, "node", "left").withColumn("_v", F.get("fields", F.col("_f"))).join(common, ["node", "_v"], "left")
+    often, filled = F.coalesce("often", F.lit(False)), _filled()
+    rare = F.col("rare") + F.when(often, 0).otherwise(1)
+    placed = materialize(placed.select(
+        "_line_id", "_line_text", "at", "leaf", "n", "fields", F.xxhash64("node", "_f", F.when(often, F.col("_v"))).alias("node"), F.col("used").bitwiseOR(F.coalesce(F.expr("shiftleft(1, _f)"), F.lit(0))).alias("used"),
+        rare.alias("rare"), (F.col("_f").isNotNull() & (rare <= filled - F.ceil(AGREE * filled))).alias("able"),
+    ))
+    busy = materialize(placed.filter("able").groupBy("node").agg(F.count("*").alias("c")).filter(F.col("c") >= least_docs).select("node", F.lit(True).alias("busy")))
+    marked = placed.join(busy, "node", "left")
+    return marked.filter("able and busy").drop("able", "busy"), marked.filter("not able or busy is null").drop("able", "busy")
 
 
 def templates(found: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
@@ -143,28 +150,18 @@ def templates(found: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     filled = _filled()
     # fields without tokens hold none of the agreement
     same = F.size(F.filter(F.sequence(F.lit(0), F.lit(FIELDS - 1)), lambda f: F.col("fields")[f] == F.col("general")[f])) - (F.lit(FIELDS) - filled)
-    least = F.ceil(AGREE * filled)
     plain, carried = ("_line_id", "_line_text", "at", "leaf"), ("n", "fields", "node", "used", "rare")
-    rest, named = found.withColumns({"node": F.col("leaf"), "used": F.lit(0), "rare": F.lit(0)}), []
+    busy = materialize(found.groupBy("leaf").agg(F.count("*").alias("c")).filter(F.col("c") >= least_docs).select("leaf"))
+    rest, named = materialize(found.join(busy, "leaf")).withColumns({"node": F.col("leaf"), "used": F.lit(0), "rare": F.lit(0)}), []
     for depth in range(FIELDS + 1):
-        # what a join looks up is written before it: both sides are then dealt out anew, and a leaf or template that very many lines share can be split
-        busy = materialize(rest.groupBy("node").agg(F.count("*").alias("c")).filter(F.col("c") >= least_docs).select("node"))
-        if depth:  # lines of the first leaves that are too few can't recur
-            named.append(rest.join(busy, "node", "left_anti").select(*plain, F.xxhash64("fields").alias("own")))
-        rest = materialize(rest.join(busy, "node"))
         general = materialize(_majority(rest))
-        tried = materialize(rest.join(general, "node").select(*plain, *carried, (same >= least).alias("mine")))
+        tried = materialize(rest.join(general, "node").select(*plain, *carried, (same >= F.ceil(AGREE * filled)).alias("mine")))
         named.append(tried.filter("mine").select(*plain, F.col("node").alias("own")))
         left = tried.filter(~F.col("mine"))
-        many = materialize(left.groupBy("node").agg(F.count("*").alias("c")).filter(F.col("c") >= least_docs).select("node"))
-        if depth == FIELDS or many.isEmpty():
-            named.append(left.select(*plain, F.xxhash64("fields").alias("own")))
+        rest, out = _split(left, least_docs) if depth < FIELDS else (None, left)
+        named.append(out.select(*plain, F.xxhash64("fields").alias("own")))
+        if rest is None or rest.isEmpty():
             break
-        named.append(left.join(many, "node", "left_anti").select(*plain, F.xxhash64("fields").alias("own")))
-        split = materialize(_split(left.join(many, "node"), least_docs))
-        able = F.col("rare") <= filled - least
-        named.append(split.filter(~able).select(*plain, F.xxhash64("fields").alias("own")))
-        rest = split.filter(able)
     return reduce(DataFrame.unionByName, named)
 
 

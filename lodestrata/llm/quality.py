@@ -32,6 +32,8 @@ LABELLED, ROUNDS, STEPS, SEED = 6000, 4, 2, 6
 SURE, TRUST = 3.0, 0.5
 #: Vectors that are handled at once, and sums that reach the driver.
 PIECE, LAST = 4096, 4
+#: Parts of one in which sums over the pool are added up.
+GRAIN = 1 << 24
 PAIRS, META = 256, 128
 _PLAIN = 14
 
@@ -189,7 +191,7 @@ def _summed(parts: DataFrame, partitions: int) -> DataFrame:
         total = None
         for batch in batches:
             for cell in batch.column(0):
-                x = np.frombuffer(cell.as_py(), np.float64)
+                x = np.frombuffer(cell.as_py(), np.int64)
                 total = x.copy() if total is None else total + x
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
@@ -198,7 +200,10 @@ def _summed(parts: DataFrame, partitions: int) -> DataFrame:
 
 
 def pool_sums(vectors: DataFrame, weights: list[np.ndarray], limits: list[tuple[float, float]]) -> np.ndarray:
-    """``sure_sums`` over a table of vectors of any size: a sum a task, then sums of these in two stages; the driver gets ``LAST`` vectors."""
+    """``sure_sums`` over a table of vectors of any size: a sum a task, then sums of these in two stages; the driver gets ``LAST`` vectors.
+
+    A task's sums are passed on as whole multiples of 1 / ``GRAIN``, which add up alike in any order, so reruns give the same weights to the last bit.
+    """
     ship(vectors.sparkSession)
 
     def run(batches):
@@ -209,12 +214,12 @@ def pool_sums(vectors: DataFrame, weights: list[np.ndarray], limits: list[tuple[
                 sums = sure_sums([_matrix(piece.column(k).to_pylist(), len(w)) for k, w in enumerate(weights)], weights, limits)
                 total = sums if total is None else total + sums
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.rint(total * GRAIN).astype(np.int64).tobytes()], pa.binary())], ["sums"])
 
     each = vectors.select("_a", "_b").mapInArrow(run, "sums binary")
     some = _summed(_summed(each, vectors.sparkSession.sparkContext.defaultParallelism), LAST).collect()
-    none = np.zeros(sum(2 * (1 + n + n * (n + 1) // 2) for n in map(len, weights)))
-    return sum((np.frombuffer(r[0], np.float64) for r in sorted(some, key=lambda r: bytes(r[0]))), none)
+    none = np.zeros(sum(2 * (1 + n + n * (n + 1) // 2) for n in map(len, weights)), np.int64)
+    return sum((np.frombuffer(r[0], np.int64) for r in some), none) / GRAIN
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", labelled: int = LABELLED):

@@ -286,8 +286,7 @@ def test_surrogates_of_every_script_stay_distinct(spark):
     rows = spark.createDataFrame([(i, f"Mr. {n}") for i, n in enumerate(names)], "doc_id long, text string").repartition(8)
     got = {r.doc_id: r.text for r in pii.anonymize(rows, "key").collect()}
     found = {names[i]: t for i, t in got.items() if f"Mr. {names[i]}" != t}
-    assert len(set(found.values()) | {f"Mr. {n}" for n in names if n not in found}) == len(set(names))
-    assert len(found) > 0.8 * len(letters)
+    assert len(set(found.values())) == len(found) > 0.8 * len(letters)
 
 
 @pytest.mark.parametrize("text", ["a." * 5_000_000, "a@" + ".".join(["b"] * 3000) + ".org ", "x" * 3_000_000 + "@", "%41" * 1_000_000, "A B " * 1_000_000, "12:" * 1_000_000, "+1 . " * 500_000, "Mr. " * 500_000, "1 " * 1_000_000], ids=range(9))
