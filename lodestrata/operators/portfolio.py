@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import normal_name
+from .matching import match_properties  # noqa: F401
 
 #: Levels of access and what each role grants by scope group (fixed values).
 LEVELS = {"none": 0, "read": 1, "edit": 2}
@@ -161,10 +161,6 @@ def dispatched(docs: DataFrame, modes: dict[str, tuple[str, ...]]) -> DataFrame:
 
 # Matching
 
-#: Properties of one key that a task compares at once.
-BLOCK = 1000
-
-
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks (0 to 1); 0 where a side is empty."""
@@ -175,38 +171,6 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([known[x, y] for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def match_properties(documents: DataFrame, properties: DataFrame, threshold: float = 0.4, most: int = 5) -> DataFrame:
-    """Up to five properties a document may belong to: name (50 points), address (30), city (12) and state (8).
-
-    Candidates share a word of the normalised name, the street number or the city: blocks instead of every pair. The properties of
-    a key are dealt into blocks of about ``BLOCK``, and each document with the key meets every block, so a hot key fills no task.
-    """
-    def prepared(df: DataFrame, tag: str) -> DataFrame:
-        rows = df.withColumns({"_name": normal_name(F.col("name")), "_addr": normal_name(F.col("address")), "_city": F.lower(F.trim(F.coalesce("city", F.lit("")))), "_state": F.lower(F.trim(F.coalesce("state", F.lit(""))))})
-        rows = rows.withColumn("_no", F.regexp_extract("_addr", r"(\d+)", 1))
-        return rows.select(F.col("id").alias(f"{tag}id"), *[F.col(c).alias(f"{tag}{c}") for c in ("_name", "_addr", "_city", "_state", "_no")])
-
-    def keys(df: DataFrame, tag: str) -> DataFrame:
-        parts = F.concat(F.transform(F.split(f"{tag}_name", " "), lambda w: F.concat(F.lit("w:"), w)), F.array(F.concat(F.lit("n:"), f"{tag}_no"), F.concat(F.lit("c:"), f"{tag}_city")))
-        return df.select(f"{tag}id", F.explode(F.array_distinct(parts)).alias("k")).filter(F.length("k") > 2)
-
-    d, p = prepared(documents, "d"), prepared(properties, "p")
-    sized = keys(p, "p").groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("b"))
-    held = keys(p, "p").join(sized, "k").select("k", "pid", F.pmod(F.xxhash64("pid"), "b").cast("int").alias("s"))
-    asked = keys(d, "d").join(sized, "k").select("k", "did", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("s"))
-    pairs = asked.join(held, ["k", "s"]).select("did", "pid").distinct().join(d, "did").join(p, "pid")
-    c = F.col
-    name = similarity(c("d_name"), c("p_name"))
-    inside = (c("d_name") != "") & (c("p_name") != "") & (c("p_name").contains(c("d_name")) | c("d_name").contains(c("p_name")))
-    rows = pairs.withColumns({"n": F.when(inside, F.greatest(name, F.lit(0.85))).otherwise(name), "a": similarity(c("d_addr"), c("p_addr")), "g": similarity(c("d_city"), c("p_city"))})
-    same_number = (c("d_no") != "") & (c("d_no") == c("p_no"))
-    score = (c("n") * 50 + F.when(same_number, F.greatest("a", F.lit(0.6))).otherwise(c("a")) * 30 + c("g") * 12 + F.when((c("d_state") != "") & (c("d_state") == c("p_state")), 8).otherwise(0)) / 100
-    w = Window.partitionBy("did").orderBy(F.desc("score"), "pid")
-    best = rows.withColumn("score", F.round(score, 3)).filter(F.col("score") >= threshold).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    level = F.when(c("score") >= 0.7, "high").when(c("score") >= 0.5, "medium").otherwise("low")
-    return best.select(c("did").alias("document_id"), c("pid").alias("property_id"), "score", "rank", level.alias("confidence"))
-
-
 def containment_match(left: DataFrame, right: DataFrame, least: int = 4) -> DataFrame:
     """Exact name, else one name inside the other with an overlap of at least four characters, longest first; ties go to the least id.
 

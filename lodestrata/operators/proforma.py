@@ -50,11 +50,19 @@ def revenue(scenarios: DataFrame) -> DataFrame:
     return rows.withColumn("tri", F.col("gpr") - F.col("l2l") - F.col("vacancy") - F.col("concessions") - F.col("bad_debt"))
 
 
+def _income_factors(scenarios: DataFrame) -> DataFrame:
+    rates = F.transform(F.sequence(F.lit(1), F.greatest(F.size("inflation"), F.lit(2))), lambda y: F.when((y == 2) & F.col("other_y2").isNotNull(), F.col("other_y2")).otherwise(F.coalesce(F.get(F.col("inflation"), y - 1), F.col("terminal"))))
+    return factors(scenarios, rates, F.col("terminal"), "factor")
+
+
 def other_income(scenarios: DataFrame) -> DataFrame:
     """Plug method: an amount per unit and year that grows; year 2 may have a rate of its own."""
-    rates = F.transform(F.sequence(F.lit(1), F.greatest(F.size("inflation"), F.lit(2))), lambda y: F.when((y == 2) & F.col("other_y2").isNotNull(), F.col("other_y2")).otherwise(F.coalesce(F.get(F.col("inflation"), y - 1), F.col("terminal"))))
-    f = factors(scenarios, rates, F.col("terminal"), "factor")
-    return f.join(scenarios.select(KEY, "units", "other_pupy"), KEY).select(KEY, "year", (F.col("other_pupy") * F.col("units") * F.col("factor") / 12).alias("other_income"))
+    return _income_factors(scenarios).join(scenarios.select(KEY, "units", "other_pupy"), KEY).select(KEY, "year", (F.col("other_pupy") * F.col("units") * F.col("factor") / 12).alias("other_income"))
+
+
+def income_lines(scenarios: DataFrame, detail: DataFrame) -> DataFrame:
+    """Detail method: (scenario_id, line, amount), the first year's amounts -> a monthly amount by line and year."""
+    return detail.join(_income_factors(scenarios), KEY).select(KEY, "line", "year", (F.col("amount") * F.col("factor") / 12).alias("other_income"))
 
 
 def opex(scenarios: DataFrame) -> DataFrame:

@@ -164,3 +164,61 @@ def reconcile_sources(a: DataFrame, b: DataFrame, key: str, value: str) -> DataF
     """Two sources by key (a full join): both values, the difference and its share."""
     joined = a.select(key, F.col(value).alias("first")).join(b.select(key, F.col(value).alias("second")), key, "full")
     return joined.withColumn("delta", F.col("first") - F.col("second")).withColumn("delta_pct", F.expr("try_divide(first - second, abs(second)) * 100"))
+
+
+#: Tiers of citations by document type, and what a statement's document counts as (fixed values).
+TIERS = {
+    "general_ledger": "PRIMARY", "operating_statement": "PRIMARY", "rent_roll": "PRIMARY", "closing": "SECONDARY", "hud_form": "SECONDARY", "cost_cert": "SECONDARY", "proforma": "SECONDARY", "equity_waterfall": "SECONDARY", "loan": "SECONDARY",
+    "due_diligence": "TERTIARY", "partnership_agreement": "TERTIARY", "organizational": "TERTIARY", "reference": "TERTIARY", "budget": "SECONDARY",
+}
+SOURCE_TYPES = {
+    "operating_statement": "MRI_INCOME_STATEMENT", "rent_roll": "RENT_ROLL", "general_ledger": "GL_EXPORT", "proforma": "VALUATION_PROFORMA", "closing": "CLOSING_STATEMENT", "hud_form": "CLOSING_STATEMENT", "loan": "LOAN_AGREEMENT",
+    "partnership_agreement": "LLC_AGREEMENT", "organizational": "LLC_AGREEMENT", "equity_waterfall": "WATERFALL_CALC", "due_diligence": "ACCOUNTANT_WORKPAPER", "reference": "OTHER", "cost_cert": "CLOSING_STATEMENT", "budget": "BUDGET_FILE",
+}
+
+
+def tier(document_type: Column) -> Column:
+    """How a citation of the document counts; unlisted types are tertiary."""
+    return lookup(document_type, TIERS, "TERTIARY")
+
+
+def source_type(document_type: Column) -> Column:
+    return lookup(document_type, SOURCE_TYPES, "OTHER")
+
+
+def registered(documents: DataFrame) -> DataFrame:
+    """Documents -> the registry of sources: (source_id, title, source_type, tier)."""
+    return documents.select(F.col("document_id").cast("string").alias("source_id"), F.col("filename").alias("title"), source_type(F.col("document_type")).alias("source_type"), tier(F.col("document_type")).alias("tier"))
+
+
+def by_tier(cited_items: DataFrame, registry: DataFrame) -> DataFrame:
+    """Cited line items -> amounts by period, category and tier of their source, with the share of the period's category that rests on it."""
+    rows = cited_items.select(*KEY, "category", F.col("cited.value").alias("value"), F.explode("cited.citations.document_id").alias("source_id")).join(registry.select("source_id", "tier"), "source_id", "left")
+    money = F.sum(F.col("value").cast("decimal(18,2)"))
+    sums = rows.groupBy(*KEY, "category", F.coalesce("tier", F.lit("TERTIARY")).alias("tier")).agg(money.alias("amount"), F.count("*").alias("items"))
+    whole = sums.groupBy(*KEY, "category").agg(F.sum("amount").alias("_all"))
+    return sums.join(whole, [*KEY, "category"]).select(*KEY, "category", "tier", F.col("amount").cast("double").alias("amount"), "items", F.expr("try_divide(cast(amount as double), cast(_all as double))").alias("share"))
+
+
+def notes(periods: DataFrame, items: DataFrame) -> DataFrame:
+    """A property's notes: the span of its periods, the number of its documents, periods with discrepancies, and those that are projections.
+
+    A projection is a period whose name holds a B or an F, as budgets' and forecasts' do.
+    """
+    order = F.struct(period_year(F.col("period")), period_order(F.col("period")), "period")
+    is_plan = F.upper("period").rlike("B|F")
+    sums = periods.groupBy("property_id").agg(
+        F.count("*").alias("n_periods"), F.min_by("period", order).alias("first_period"), F.max_by("period", order).alias("last_period"), F.count_if(F.col("noi_disagree") | F.col("noi_differs")).alias("n_discrepancies"),
+        F.array_sort(F.collect_list(F.when(is_plan, F.struct(period_year(F.col("period")).alias("y"), period_order(F.col("period")).alias("o"), "period")))).alias("_plans"),
+    )
+    docs = items.groupBy("property_id").agg(F.count_distinct("document_id").alias("n_documents"))
+    rows = docs.join(sums, "property_id", "left").withColumn("plans", F.coalesce(F.transform("_plans", lambda x: x["period"]), F.array().cast("array<string>")))
+    spelled = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    n = lambda c: F.col(c).cast("string")
+    lines = F.array(
+        spelled("Financial data spans ", n("n_periods"), " periods: ", F.col("first_period"), " through ", F.col("last_period"), "."), spelled("Data sourced from ", n("n_documents"), " document(s)."),
+        F.when(F.col("n_discrepancies") > 0, spelled(n("n_discrepancies"), " of ", n("n_periods"), " periods have discrepancies between source documents. See period-level notes for details.")),
+        F.when(F.size("plans") > 0, spelled("Budget/forecast periods detected: ", F.array_join("plans", ", "), ". These contain projected figures, not actuals.")),
+    )
+    said = F.when(F.col("n_periods").isNull(), F.array(F.lit("No financial periods found."))).otherwise(F.array_compact(lines))
+    return rows.select("property_id", F.coalesce("n_periods", F.lit(0)).alias("n_periods"), "n_documents", F.coalesce("n_discrepancies", F.lit(0)).alias("n_discrepancies"), "plans", said.alias("notes"))

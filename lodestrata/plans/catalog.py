@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leases, loads, portfolio, proforma, reads, scorecard, synthesis, texts, warehouse  # noqa: F401
+from . import grids, leases, loads, portfolio, proforma, reads, records, scorecard, synthesis, texts, warehouse  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]

@@ -137,3 +137,8 @@ def sc23(spark, d):
     beds = F.when(F.col("p_size") % 5 < 4, F.col("p_size") % 5)
     start = F.lit(date(2000, 1, 1))
     return src.table(spark, d, "part").select("p_partkey", lp.unit_type(beds, F.col("p_size") * 30).alias("unit_type"), lp.lease_term(start, F.date_add(start, F.col("p_size") * 30)).alias("term"))
+
+
+@query("sc24_lease_term", """select lease_id, line, unit, case when date_diff('day', lease_start, lease_exp) between 30 and 900 then round(date_diff('day', lease_start, lease_exp) / 30.4::double, 1) else 12.0 end as months from leases""")
+def sc24(spark, d):
+    return src.leases(spark, d).select("lease_id", "line", "unit", lp.lease_term(F.col("lease_start"), F.col("lease_exp")).alias("months"))

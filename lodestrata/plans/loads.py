@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import inventory as inv
 from ..operators import portfolio
+from ..session import shared_path
 from ..sources import documents, warehouse
 from ..sources.surrogates import table as t
 from .registry import query
@@ -19,13 +18,7 @@ KNOWN = date(2024, 6, 30)
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares; one of our own only in local mode without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
-    return f"{root}/loads/{uuid.uuid4().hex}"
+    return shared_path(spark, "loads")
 
 
 def _as_csv(df: DataFrame) -> str:
@@ -124,6 +117,19 @@ def src09(spark, d):
     return log.select("ingestion_id", "source", "source_vintage", "record_count")
 
 
+@query("src09_loads_of_tables", """select row_number() over (order by k)::bigint as ingestion_id, source, vintage as source_vintage, n::bigint as record_count, (date '2024-06-30' + k::int)::varchar as known from (select 0 as k, 'inventory' as source, '2024Q1' as vintage, (select count(*) from part) as n union all select 1, 'sales', '2024Q2', (select count(*) from lineitem)
+ union all select 2, 'ownership', '2024Q2', (select count(*) from orders) union all select 3, 'inventory', '2024Q3', (select count(*) from part where p_size > 10))""")
+def src09_tables(spark, d):
+    """Each table is written as its source's file, loaded from there, and registered with the rows that the load gave; the log's own order gives the ids."""
+    from datetime import timedelta
+
+    log, parts = None, t(spark, d, "part")
+    for k, (source, vintage, rows) in enumerate((("inventory", "2024Q1", parts), ("sales", "2024Q2", t(spark, d, "lineitem")), ("ownership", "2024Q2", t(spark, d, "orders")), ("inventory", "2024Q3", parts.filter("p_size > 10")))):
+        path = _as_parquet(rows)
+        log = warehouse.register(spark, log, source, vintage, KNOWN + timedelta(days=k), path, spark.read.parquet(path).count(), datetime(2024, 7, 1))
+    return log.select("ingestion_id", "source", "source_vintage", "record_count", F.col("knowledge_date").cast("string").alias("known"))
+
+
 _PATHS = "concat('/in/', p_partkey, '/File ', p_size, '.', case p_size % 5 when 0 then 'PDF' when 1 then 'xlsx' when 2 then 'Txt' when 3 then 'jpeg' else 'zip' end)"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels
 from ..functions import text as tx
+from ..operators import matching
 from ..operators import portfolio as po
 from ..sources import surrogates as src
 from .registry import query
@@ -148,11 +149,50 @@ def rbac(spark, d):
     return po.allowed(po.permissions(users, ROLES), "read").select("user_id", "scope", "level", "allowed")
 
 
+def _match_sides(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(" Main St")).alias("address"), F.col("p_brand").alias("city"), F.substring("p_type", 1, 2).alias("state"))
+    return p.withColumn("name", F.concat("name", F.lit(" LLC"))), p
+
+
 @query("jn19_match_properties")
 def jn19(spark, d):
-    p = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(" Main St")).alias("address"), F.col("p_brand").alias("city"), F.substring("p_type", 1, 2).alias("state"))
-    docs = p.withColumn("name", F.concat("name", F.lit(" LLC")))
-    return po.match_properties(docs, p)
+    return po.match_properties(*_match_sides(spark, d))
+
+
+_BAG = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz0123456789 ', ''), lambda c: length(s) - length(replace(s, c, '')))"
+_COMMON = "list_sum(list_transform(list_zip(a.bag, b.bag), lambda x: least(x[1], x[2]))) + least(a.n - list_sum(a.bag), b.n - list_sum(b.bag))"
+
+
+@query("jn19_candidates", f"""with p as (select p_partkey as id, lower(p_name) as name, p_size || ' main st' as addr, p_size as no, lower(p_brand) as city, lower(substr(p_type, 1, 2)) as state from part),
+ s as (select s, length(s) as n, {_BAG} as bag from (select name as s from p union select addr from p union select city from p)),
+ name as (select a.s as x, b.s as y, case when c >= least(a.n, b.n) then greatest(r, 0.85) else r end as v from (select a, b, {_COMMON} as c, 2 * ({_COMMON})::double / (a.n + b.n) as r from s a, s b where a.s in (select name from p) and b.s in (select name from p))),
+ addr as (select a.s as x, b.s as y, 2 * ({_COMMON})::double / (a.n + b.n) as v from s a, s b where a.s in (select addr from p) and b.s in (select addr from p)),
+ city as (select a.s as x, b.s as y, 2 * ({_COMMON})::double / (a.n + b.n) as v from s a, s b where a.s in (select city from p) and b.s in (select city from p))
+ select a.id as did, b.id as pid, round(0.5 * name.v + 0.3 * case when a.no = b.no then greatest(addr.v, 0.6) else addr.v end + 0.12 * city.v + 0.08 * (a.state = b.state)::int, 6) as score
+ from name join p a on a.name = name.x join p b on b.name = name.y join addr on addr.x = a.addr and addr.y = b.addr join city on city.x = a.city and city.y = b.city
+ where 0.5 * name.v + 0.3 * case when a.no = b.no then greatest(addr.v, 0.6) else addr.v end + 0.12 * city.v + 0.08 * (a.state = b.state)::int + 0.0005 >= 0.95""")
+def jn19_candidates(spark, d):
+    return rounded(matching.candidates(*_match_sides(spark, d), 0.95), "score")
+
+
+@query("jn20_containment", """with a as (select c_custkey as id, lower(trim(case when c_custkey % 3 = 0 then n_name when c_custkey % 3 = 1 then 'the ' || n_name || ' ' || c_mktsegment else c_mktsegment end)) as x from customer join nation on c_nationkey = n_nationkey),
+ b as (select y, min(rid) as rid from (select n_nationkey as rid, lower(trim(n_name)) as y from nation union all select 100 + r_regionkey, lower(trim(r_name)) from region) group by y),
+ exact as (select id, min(rid) as matched from a join b on x = y group by id),
+ near as (select id, rid, row_number() over (partition by id order by least(length(x), length(y)) desc, rid) as n from a join b on contains(x, y) and length(y) >= 4 or contains(y, x) and length(x) >= 4 where id not in (select id from exact))
+ select id, matched, 'exact' as how from exact union all select id, rid, 'contains' from near where n = 1""")
+def jn20(spark, d):
+    name = F.expr("case c_custkey % 3 when 0 then n_name when 1 then concat('the ', n_name, ' ', c_mktsegment) else c_mktsegment end")
+    left = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), name.alias("name"))
+    right = t(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).union(t(spark, d, "region").select(F.col("r_regionkey") + 100, "r_name"))
+    return po.containment_match(left, right)
+
+
+@query("sc16_similarity")
+def sc16(spark, d):
+    """Names of parts against the next part's."""
+    p = t(spark, d, "part").select("p_partkey", "p_name")
+    other = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    return p.join(other, "p_partkey").select("p_partkey", F.round(po.similarity("p_name", "next_name"), 6).alias("similarity"))
 
 
 @query("tx01_filename_classifier", """select doc_id, case when f like '%rent_roll%' then 'rent_roll' when f like '%promissory note%' then 'loan' when f like '%guaranty%' then 'guarantee' when f like '%settlement-statement%' then 'closing' end as document_type,
@@ -289,3 +329,23 @@ def tx16(spark, d):
     from ..operators.search import search
 
     return rounded(search(t(spark, d, "documents"), "The erer", limit=20, stem=False), "score")
+
+
+@query("tx16_index_search", """with d as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9à-öø-ÿß]+'), lambda w: w <> '') as ws from documents),
+ p as (select doc_id, len(ws) as n, len(list_filter(ws, lambda w: w = 'on')) as a, len(list_filter(range(1, len(ws)), lambda i: ws[i] = 'the' and ws[i + 1] = 'and')) as b, len(list_filter(ws, lambda w: w = 'the')) as t, len(list_filter(ws, lambda w: w = 'and')) as u,
+  list_filter(ws, lambda w: starts_with(w, 'eren')) as pre, len(list_filter(ws, lambda w: w = 'is')) as x from d),
+ s as (select count(*) as total, avg(n) as mean, count(case when a > 0 then 1 end) as da, count(case when t > 0 then 1 end) as dt, count(case when u > 0 then 1 end) as du from p),
+ e as (select doc_id, w, count(*) as f from (select doc_id, unnest(pre) as w from p) group by all), ew as (select w, count(*) as dw from e group by w),
+ es as (select doc_id, sum(ln(1 + (total - dw + 0.5) / (dw + 0.5)) * f * 2.2::double / (f + 1.2::double * (0.25::double + 0.75::double * n / mean))) as v from e join ew using (w) join p using (doc_id), s group by doc_id),
+ r as (select doc_id, ln(1 + (total - da + 0.5) / (da + 0.5)) * a * 2.2::double / (a + 1.2::double * (0.25::double + 0.75::double * n / mean))
+  + (ln(1 + (total - dt + 0.5) / (dt + 0.5)) + ln(1 + (total - du + 0.5) / (du + 0.5))) * b * 2.2::double / (b + 1.2::double * (0.25::double + 0.75::double * n / mean)) + coalesce(v, 0) as score
+  from p left join es using (doc_id), s where a > 0 and b > 0 and x = 0)
+ select doc_id, round(score, 6) as score from r order by round(score, 9) desc, doc_id limit 20""")
+def tx16_index(spark, d):
+    """All documents are indexed; the question reads the index."""
+    from ..operators import textindex
+    from .loads import folder
+
+    path = folder(spark)
+    textindex.build(t(spark, d, "documents"), path, stem=False)
+    return rounded(textindex.search(spark, path, must=("on", "the and"), may=("eren*",), never=("is",), limit=20, stem=False).withColumnRenamed("doc", "doc_id"), "score")

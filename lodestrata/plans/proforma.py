@@ -73,6 +73,26 @@ def pf05(spark, d):
     return rounded(pf.opex(scenarios(spark, d)), "opex", places=4)
 
 
+_LINES = """(values ('laundry', 'total', 100.0::double), ('parking', 'per_unit', 7.0::double), ('fee', 'pct_of_egr', 0.03::double), ('reserve', 'pct_of_upb', 0.01::double)) l(line, basis, base)"""
+
+
+def _detail(spark, d):
+    """Four lines of each scenario, one of every basis; the amounts grow with the part's size."""
+    lines = "inline(array(struct('laundry' as line, 'total' as basis, 100D as base), struct('parking' as line, 'per_unit' as basis, 7D as base), struct('fee' as line, 'pct_of_egr' as basis, 0.03D as base), struct('reserve' as line, 'pct_of_upb' as basis, 0.01D as base)))"
+    return src.table(spark, d, "part").selectExpr("p_partkey as scenario_id", "p_size", lines).selectExpr("scenario_id", "line", "basis", "base * p_size as amount")
+
+
+@query("pf05_opex_detail", f"with {_S}, {_YEARS} select scenario_id, line, year::int as year, round(base * p_size * case basis when 'total' then 1 when 'per_unit' then units else 0 end * 1.03::double ** (year - 1) / 12 + 1e-7, 4) as opex from y join (select p_partkey, p_size from part) on p_partkey = scenario_id, {_LINES}")
+def pf05_detail(spark, d):
+    return rounded(pf.lines(scenarios(spark, d), _detail(spark, d), "opex"), "opex", places=4)
+
+
+@query("pf04_other_income_detail", f"""with {_S}, {_YEARS} select scenario_id, line, year::int as year, round(base * p_size * case basis when 'total' then 1 else 0 end * f / 12 + 1e-7, 4) as other_income from
+ (select *, product(1 + case when year <= 1 then 0 when year = 2 then 0.05::double when year = 3 then 0.025::double else 0.02::double end) over (partition by scenario_id order by year) as f from y) join (select p_partkey, p_size from part) on p_partkey = scenario_id, {_LINES} where basis = 'total'""")
+def pf04_detail(spark, d):
+    return rounded(pf.income_lines(scenarios(spark, d), _detail(spark, d).filter("basis = 'total'")), "other_income", places=4)
+
+
 _DC = ("beginning", "interest", "principal_paid", "payment", "ending")
 
 

@@ -3,6 +3,7 @@
 from datetime import date, datetime
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -142,17 +143,53 @@ def test_irr(spark):
     assert f([100, 110]) is None
 
 
-def test_waterfall_never_overpays():
+def test_waterfall_never_overpays(spark):
     p = waterfall.Partnership({"lp": (0.10, "annual"), "gp": (0.0, "annual")}, [("escrow_recapture", {"lp": 1.0, "gp": 1.0}), ("preferred_return", {"lp": 1.0}), ("return_of_capital", {"lp": 1.0, "gp": 1.0}), ("promote", {"lp": 0.8, "gp": 0.2})])
-    periods = pd.DataFrame({"period": [1, 2, 3], "distributable": [5.0, 120.0, 0.0], "contributed_lp": [90.0, 0, 0], "contributed_gp": [10.0, 0, 0], "escrow_lp": [3.0, 0, 0], "escrow_gp": [4.0, 0, 0]})
-    rows = list(waterfall.run(p, periods))
-    assert rows[0][3] == 3.0 and rows[1][3] == 2.0  # escrow first, no more than the cash
-    assert rows[2][3] + rows[3][3] == pytest.approx(120.0)
+    periods = pd.DataFrame({"scenario_id": 1, "period": [1, 2, 3], "distributable": [5.0, 120.0, 0.0], "contributed_lp": [90.0, 0, 0], "contributed_gp": [10.0, 0, 0], "escrow_lp": [3.0, 0, 0], "escrow_gp": [4.0, 0, 0]})
+    rows = waterfall.waterfall(spark.createDataFrame(periods), p).orderBy("period", F.desc("class_id")).collect()
+    assert rows[0].distributed == 3.0 and rows[1].distributed == 2.0  # escrow first, no more than the cash
+    assert rows[2].distributed + rows[3].distributed == pytest.approx(120.0)
     # two of escrow are left, then 9 + 9 of pref, then 100 of capital, and nothing over
-    assert rows[3][3] == pytest.approx(2.0 + 10.0 * (120 - 2 - 18) / 100)
+    assert rows[3].distributed == pytest.approx(2.0 + 10.0 * (120 - 2 - 18) / 100)
     assert waterfall.effective_rate(0.12, "monthly") == pytest.approx(1.01**12 - 1)
 
 
+def test_waterfall_conserves_cash(spark):
+    """Random partnerships: what is paid and left adds up, and balances follow from payments."""
+    rng = np.random.default_rng(3)
+    p = waterfall.Partnership({"a": (0.08, "monthly"), "b": (0.12, "quarterly"), "c": (0.0, "annual")}, [("preferred_return", {}), ("escrow_recapture", {"b": 1.0}), ("return_of_capital", {"a": 1.0, "b": 1.0, "c": 1.0}), ("catch_up", {"c": 0.5}), ("promote", {"a": 0.5, "c": 0.4})])
+    rows = [(s, t, *map(float, rng.integers(0, 300, 7))) for s in range(20) for t in range(1, 7)]
+    df = spark.createDataFrame(rows, "scenario_id int, period int, distributable double, contributed_a double, contributed_b double, contributed_c double, escrow_a double, escrow_b double, escrow_c double")
+    got = {(r.scenario_id, r.period, r.class_id): r for r in waterfall.waterfall(df, p).collect()}
+    for s in range(20):
+        owed, due, held, put_in = ({c: 0.0 for c in "abc"} for _ in range(4))
+        for _, t, cash, *x in (r for r in rows if r[0] == s):
+            paid = dict.fromkeys("abc", 0.0)
+            for c, given, kept in zip("abc", x[:3], x[3:], strict=True):
+                owed[c] += given
+                put_in[c] += given
+                held[c] += kept
+                due[c] += owed[c] * waterfall.effective_rate(*p.classes[c])
+
+            def pro_rata(book, cash):
+                total = sum(book.values())
+                return {c: min(cash, total) * v / total if total else 0.0 for c, v in book.items()}
+
+            for step in range(5):
+                if cash <= 1e-9:
+                    break
+                book = (due, held, owed, None, None)[step]
+                out = pro_rata(due, cash) if step == 0 else {"b": min(cash, held["b"])} if step == 1 else pro_rata(owed, cash) if step == 2 else {"c": cash * 0.5} if step == 3 else {"a": cash * 0.5, "c": cash * 0.4}
+                for c, v in out.items():
+                    paid[c] += v
+                    if book is not None:
+                        book[c] -= v
+                cash -= sum(out.values())
+            for c in "abc":
+                r = got[s, t, c]
+                assert (r.contributed, r.distributed, r.unpaid_pref, r.unreturned_capital, r.unrecouped_escrow) == pytest.approx((put_in[c], paid[c], due[c], owed[c], held[c]), abs=1e-6)
+
+
 def test_periods_and_amounts(spark):
     df = spark.createDataFrame([("2023A",), ("2023 Budget",), ("2024F",), ("TTM",), (None,)], "p string").select(fs.period_year(F.col("p")).alias("y"), fs.period_order(F.col("p")).alias("o"))
     assert [tuple(r) for r in df.collect()] == [(2023, 0), (2023, 1), (2024, 2), (9999, 99), (9999, 99)]
