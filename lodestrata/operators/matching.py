@@ -33,6 +33,8 @@ from ..session import ship
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
 #: Members of a cell, documents that meet a cell in one task, cells of a broadcast part, properties of a seed key.
 CELL, BLOCK, PART, SEEDS = 512, 2000, 50_000, 8
+#: Counts that are compared at once.
+CELLWISE = 1 << 20
 #: Points of name, address, city and state; what a name inside the other, and what one street number, count at least (fixed values).
 WEIGHTS, INSIDE, SAME_NUMBER = (0.50, 0.30, 0.12, 0.08), 0.85, 0.6
 #: Scores are compared with three digits.
@@ -83,28 +85,29 @@ class _Cells:
 
 
 def _ratio_bound(bag: np.ndarray, other, field: str, inside: bool = False) -> np.ndarray:
-    """The greatest ratio that a string of this bag can have with what ``other`` holds, for each of its rows."""
-    length = int(bag.sum())
-    if not length:
-        return np.zeros(other.n)
-    low, high = other.low[field], other.high[field]
-    common = np.minimum(np.minimum(other.bag[field], bag).sum(1), high)
+    """The greatest ratio that strings of these bags (rows) can have with what ``other`` holds (columns)."""
+    length = bag.sum(1)[:, None]
+    low, high = other.low[field][None, :], other.high[field][None, :]
+    common = np.minimum(np.minimum(other.bag[field][None, :, :], bag[:, None, :]).sum(2), high)
     best = np.clip(common, low, high)  # the length for which so many common characters weigh most
-    out = 2 * np.minimum(common, best) / np.maximum(1, length + best) * (high > 0)
+    both = (length > 0) & (high > 0)
+    out = 2 * np.minimum(common, best) / np.maximum(1, length + best) * both
     if inside:
-        may = (common >= length) | ((other.least[field] <= bag).all(1) & (low <= length) & (high > 0))
+        may = both & ((common >= length) | ((other.least[field][None, :, :] <= bag[:, None, :]).all(2) & (low <= length)))
         out = np.where(may, np.maximum(out, INSIDE), out)
     return out
 
 
-def _bound(docs: _Side, i: int, other) -> np.ndarray:
-    """Upper bounds of one document's score against all rows of ``other``."""
-    name, addr, city = (_ratio_bound(docs.bag[f][i], other, f, f == "name") for f in _FIELDS)
-    if docs.no[i]:
-        same = np.full(other.n, True) if other.no is None else other.no == docs.no[i]
-        addr = np.where(same & (other.high["addr"] > 0), np.maximum(addr, SAME_NUMBER), addr)
-    state = (other.state == docs.state[i]) & (docs.state[i] != "")
-    return WEIGHTS[0] * name + WEIGHTS[1] * addr + WEIGHTS[2] * city + WEIGHTS[3] * state
+def _bounds(docs: _Side, other) -> Iterator[np.ndarray]:
+    """Upper bounds of each document's scores against all rows of ``other``, in the order of the documents; some documents at a time, so that ``CELLWISE`` counts are compared at once."""
+    some = max(1, CELLWISE // max(1, other.n * _WIDTH))
+    for at in range(0, docs.n, some):
+        part = slice(at, at + some)
+        name, addr, city = (_ratio_bound(docs.bag[f][part], other, f, f == "name") for f in _FIELDS)
+        no, state = docs.no[part][:, None], docs.state[part][:, None]
+        same = (no != "") & (True if other.no is None else other.no[None, :] == no)
+        addr = np.where(same & (other.high["addr"][None, :] > 0), np.maximum(addr, SAME_NUMBER), addr)
+        yield from WEIGHTS[0] * name + WEIGHTS[1] * addr + WEIGHTS[2] * city + WEIGHTS[3] * ((other.state[None, :] == state) & (state != ""))
 
 
 class Ratios(dict):
@@ -137,8 +140,7 @@ def _meeting(exact: bool):
         if len(left) and len(right):
             docs, props, ratio = _Side(left), _Side(right), Ratios()
             facts, ids, floors = list(right[columns].itertuples(index=False, name=None)), right["id"].to_numpy(np.int64), left["floor"].to_numpy(np.float64)
-            for i, (id_, d) in enumerate(zip(left["id"], left[columns].itertuples(index=False, name=None), strict=True)):
-                bound = _bound(docs, i, props)
+            for i, (id_, d, bound) in enumerate(zip(left["id"], left[columns].itertuples(index=False, name=None), _bounds(docs, props), strict=True)):
                 for j in np.flatnonzero(bound + SLACK >= floors[i]):
                     value = score(d, facts[j], ratio) if exact else float(bound[j])
                     if value >= floors[i] or not exact:
@@ -203,7 +205,7 @@ def asked(docs: DataFrame, cells: DataFrame) -> DataFrame:
             every = _Cells(sent.value)
             for batch in batches:
                 side = _Side(batch)
-                hits = [every.ids[_bound(side, i, every) + SLACK >= floor] for i, floor in enumerate(batch["floor"])]
+                hits = [every.ids[bound + SLACK >= floor] for bound, floor in zip(_bounds(side, every), batch["floor"], strict=True)]
                 rows = batch.loc[batch.index.repeat([len(h) for h in hits])]
                 yield rows.assign(k=np.concatenate(hits) if hits else np.zeros(0, np.int64))
 

@@ -59,8 +59,8 @@ def test_bounds_never_fall_below_scores(spark):
     cells = matching._Cells(matching.summaries(matching.in_cells(spark.createDataFrame(p))).toPandas())
     k = {r.id: r.k for r in matching.in_cells(spark.createDataFrame(p)).collect()}
     facts = lambda rows: list(rows[["name", "addr", "city", "state", "no"]].itertuples(index=False, name=None))
-    for i, x in enumerate(facts(d)):
-        own, of_cell = matching._bound(docs, i, props), dict(zip(cells.ids, matching._bound(docs, i, cells), strict=True))
+    for x, own, by_cell in zip(facts(d), matching._bounds(docs, props), matching._bounds(docs, cells), strict=True):
+        of_cell = dict(zip(cells.ids, by_cell, strict=True))
         for j, y in enumerate(facts(p)):
             assert whole_score(x, y) <= own[j] + matching.SLACK and own[j] <= of_cell[k[p["id"][j]]] + 1e-9
 
