@@ -165,8 +165,17 @@ def floors(docs: DataFrame, props: DataFrame, threshold: float, most: int) -> Da
         keys = F.concat(F.array(F.concat_ws("|", F.lit("n"), "name"), F.concat_ws("|", F.lit("h"), "no", "city")), words)
         return rows.withColumn("k", F.explode(F.array_distinct(keys)))
 
-    few = keyed(props).withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy("id"))).filter(F.col("_n") <= SEEDS).drop("_n")
-    found = _met(keyed(docs).withColumn("floor", F.lit(threshold)), few).distinct()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ratio = Ratios()
+        for batch in batches:
+            sides = [list(batch[[f"{side}_{c}" for c in columns]].itertuples(index=False, name=None)) for side in "dp"]
+            yield batch[["did"]].assign(score=[score(d, p, ratio) for d, p in zip(*sides, strict=True)])
+
+    columns = ["name", "addr", "city", "state", "no"]
+    few = keyed(props).withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy("id"))).filter(F.col("_n") <= SEEDS)
+    few = few.select("k", F.col("id").alias("pid"), *[F.col(c).alias(f"p_{c}") for c in columns])
+    asks = keyed(docs).select("k", F.col("id").alias("did"), *[F.col(c).alias(f"d_{c}") for c in columns])
+    found = asks.join(few, "k").drop("k").dropDuplicates(["did", "pid"]).mapInPandas(run, "did long, score double").filter(F.col("score") >= threshold)
     ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("did").orderBy(F.desc("score")))).filter(F.col("_n") == most)
     return docs.join(ranked.select(F.col("did").alias("id"), F.col("score").alias("floor")), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(threshold)))
 
