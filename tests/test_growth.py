@@ -30,3 +30,18 @@ def test_copies_are_compared_once_by_candidates(spark, met):
     one = pairs(rows)
     assert pairs(_thrice(rows)) == sorted((d + i, p + j, s) for d, p, s in one for i in (0, 1000, 2000) for j in (0, 1000, 2000))
     assert met[0] == met[1]
+
+
+def test_copies_are_compared_once_by_the_best_five(spark, met):
+    """Five of least id at most among equal properties; equal documents get the same."""
+    docs, props = (spark.createDataFrame([r for r in places(n, seed) if r[1]], PLACES) for n, seed in ((20, 1), (30, 2)))
+    best = lambda d, p: {(r.document_id, r["rank"]): (r.property_id, r.score) for r in matching.match_properties(d, p, most=5).collect()}
+    every = {}
+    for r in matching.match_properties(docs, props, most=100).collect():
+        every.setdefault(r.document_id, []).append((r.property_id, r.score))
+    want = {}
+    for d, found in every.items():
+        copies = sorted((-s, p + j) for p, s in found for j in (0, 1000, 2000))[:5]
+        want |= {(d + i, n + 1): (p, -s) for i in (0, 1000, 2000) for n, (s, p) in enumerate(copies)}
+    assert best(_thrice(docs), _thrice(props)) == want
+    assert met[0] == met[1]
