@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_indexes import PLACES, places
 
 from lodestrata.operators import matching
+from lodestrata.plans import catalog
 
 
 @pytest.fixture
@@ -45,3 +46,14 @@ def test_copies_are_compared_once_by_the_best_five(spark, met):
         want |= {(d + i, n + 1): (p, -s) for i in (0, 1000, 2000) for n, (s, p) in enumerate(copies)}
     assert best(_thrice(docs), _thrice(props)) == want
     assert met[0] == met[1]
+
+
+#: Queries whose joined sides are exploded or come from Python, so that Spark takes them for smaller than they are.
+NOT_BROADCAST = ["pf11_annual_lines"]
+
+
+@pytest.mark.parametrize("name", NOT_BROADCAST)
+def test_no_exploded_rows_are_sent_to_all_executors(spark, data, name):
+    plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
+
