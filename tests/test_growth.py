@@ -49,7 +49,7 @@ def test_copies_are_compared_once_by_the_best_five(spark, met):
 
 
 #: Queries whose joined sides are exploded or come from Python, so that Spark takes them for smaller than they are.
-NOT_BROADCAST = ["pf11_annual_lines", "pf14_returns", "pf15_waterfall"]
+NOT_BROADCAST = ["pf08_capex_funding", "pf11_annual_lines", "pf14_returns", "pf15_waterfall"]
 
 
 @pytest.mark.parametrize("name", NOT_BROADCAST)
@@ -57,3 +57,6 @@ def test_no_exploded_rows_are_sent_to_all_executors(spark, data, name):
     plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan
 
+
+def test_little_data_with_folds_is_dealt_to_many_tasks(spark, data):
+    assert catalog.QUERIES["pf08_capex_funding"](spark, data).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
