@@ -1,6 +1,6 @@
 """Scenario files as rows: nested parameters, overlays by precedence, citations checked against a registry, and validated figures laid over actuals.
 
-A scenario's layers (base, overlay, overlay of the overlay) are JSON objects. They are flattened to one row a leaf, ``scenario, layer, path, value``, and merged by joins on paths: a higher layer's leaf takes the place of
+A scenario's layers (base, overlay, overlay of the overlay) are JSON objects. They are flattened to one row a leaf, ``scenario, layer, path, value``, and merged by paths: a higher layer's leaf takes the place of
 what lower layers have at its path, below it, or, as a plain value, above it. That is the deep merge of nested objects in which the overlay wins, for any number of layers and scenarios at once.
 
 Defined results: lists are values and are replaced whole; an explicit null is a value; an empty object is a leaf only where nothing is below it; a body that isn't a JSON object, or an empty one, has no rows; of equal
@@ -13,9 +13,11 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Parts the steps of a path.
 STEP = "/"
 #: Places by sections of a validated file, and the field that each sets (fixed values).
@@ -45,26 +47,26 @@ def flattened(files: DataFrame) -> DataFrame:
                     out += [(scenario, layer, *leaf) for leaf in _leaves(node, "")]
             yield pd.DataFrame(out, columns=["scenario", "layer", "path", "value"])
 
-    rows = files.select("scenario", F.col("layer").cast("int").alias("layer"), F.col("body").cast("string").alias("body"))
+    rows = spread(files.select("scenario", F.col("layer").cast("int").alias("layer"), F.col("body").cast("string").alias("body")), "scenario", "layer")
     kind = rows.schema["scenario"].dataType.simpleString()
     return rows.mapInPandas(run, f"scenario {kind}, layer int, path string, value string").groupBy("scenario", "layer", "path").agg(F.max("value").alias("value"))
 
 
-def _prefixes(path):
-    steps = F.split(path, STEP)
-    return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), STEP))
+def _at_prefixes(rows: DataFrame) -> DataFrame:
+    """Every leaf at its own path and at each path above it."""
+    steps = rows.select("scenario", "layer", "path", "value", F.explode(F.sequence(F.lit(1), F.size(F.split("path", STEP)))).alias("_n"))
+    return steps.select("scenario", "layer", "path", "value", F.expr(f"substring_index(path, '{STEP}', _n)").alias("at"))
 
 
 def merged(leaves: DataFrame) -> DataFrame:
-    """(scenario, layer, path, value) of the leaves that are left, with the layer that each comes from."""
-    above = leaves.select("scenario", "layer", "path", "value", F.explode(_prefixes("path")).alias("at"))
-    own, empty = F.col("at") == F.col("path"), F.col("value") == "{}"
+    """(scenario, layer, path, value) of the leaves that are left, with the layer that each comes from. Leaves meet at the paths above them by windows, so that no table of paths is sent anywhere."""
+    own, empty, here = F.col("at") == F.col("path"), F.col("value") == "{}", Window.partitionBy("scenario", "at")
     # the highest layer with a leaf at or below a path, and the highest with a value exactly there; an empty object takes nothing away from what is below it
-    highest = above.groupBy("scenario", "at").agg(F.max("layer").alias("_below"), F.max(F.when(own & ~empty, F.col("layer"))).alias("_here"))
+    above = _at_prefixes(leaves.filter("scenario is not null")).withColumns({"_below": F.max("layer").over(here), "_here": F.max(F.when(own & ~empty, F.col("layer"))).over(here)})
     lost = F.when(own, F.col("_below") > F.col("layer")).otherwise(F.coalesce(F.col("_here") > F.col("layer"), F.lit(False)))
-    kept = above.join(highest, ["scenario", "at"]).groupBy("scenario", "layer", "path", "value").agg(F.max(lost.cast("int")).alias("_lost")).filter("_lost = 0").drop("_lost")
-    held = kept.select("scenario", "path", F.explode(_prefixes("path")).alias("at")).filter("at <> path").select("scenario", F.col("at").alias("path")).distinct()
-    return kept.filter(~empty).unionByName(kept.filter(empty).join(held, ["scenario", "path"], "left_anti").select(kept.columns))
+    kept = above.groupBy("scenario", "layer", "path", "value").agg(F.max(lost.cast("int")).alias("_lost")).filter("_lost = 0")
+    held = F.max((~own).cast("int")).over(here)
+    return _at_prefixes(kept).withColumn("_held", held).filter(own & ~(empty & (F.col("_held") == 1))).select("scenario", "layer", "path", "value")
 
 
 def under(rows: DataFrame, path: str) -> DataFrame:
