@@ -49,7 +49,7 @@ def test_copies_are_compared_once_by_the_best_five(spark, met):
 
 
 #: Queries whose joined sides are exploded or come from Python, so that Spark takes them for smaller than they are.
-NOT_BROADCAST = ["pf05_opex_detail", "pf08_capex_funding", "pf11_annual_lines", "pf14_returns", "pf15_waterfall", "pf19_scenarios_from_overlays"]
+NOT_BROADCAST = ["pf05_opex_detail", "pf08_capex_funding", "pf11_annual_lines", "pf14_returns", "pf15_waterfall", "pf19_scenarios_from_overlays", "src27_citations", "src27_merged_scenarios"]
 
 
 @pytest.mark.parametrize("name", NOT_BROADCAST)
