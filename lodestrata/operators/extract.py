@@ -313,7 +313,8 @@ def mapped_columns(tables: DataFrame, key: list[str], aliases: dict[str, list[st
     exact = (F.col("h") == F.col("alias")).cast("int")
     one = best_per_key(best_per_key(hit, [*key, "column"], F.desc(exact), F.col("ord")), [*key, "field"], F.col("column")).select(*key, "column", "field")
     cells = tables.select(*key, F.posexplode(rows).alias("at", "cells")).select(*key, "at", F.posexplode("cells").alias("column", "value"))
-    return cells.join(one, [*key, "column"]).groupBy(*key, "at").pivot("field", list(aliases)).agg(F.first("value"))
+    # Spark takes exploded cells and headers for as few as the tables, so neither is to be sent to all executors
+    return cells.hint("merge").join(one, [*key, "column"]).groupBy(*key, "at").pivot("field", list(aliases)).agg(F.first("value"))
 
 
 def cascade(first: DataFrame, second: DataFrame, key: str) -> DataFrame:

@@ -52,6 +52,14 @@ def test_copies_are_compared_once_by_the_best_five(spark, met):
 NOT_BROADCAST = ["pf05_opex_detail", "pf08_capex_funding", "pf11_annual_lines", "pf14_returns", "pf15_waterfall", "pf19_scenarios_from_overlays", "src27_citations", "src27_merged_scenarios"]
 
 
+def _join_of_cells(spark, data):
+    return catalog.QUERIES["tx08_mapped_columns"](spark, data)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_not_sent_to_all_executors(spark, data):
+    assert "BroadcastHashJoin" not in _join_of_cells(spark, data)
+
+
 @pytest.mark.parametrize("name", NOT_BROADCAST)
 def test_no_exploded_rows_are_sent_to_all_executors(spark, data, name):
     plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
