@@ -68,3 +68,31 @@ def test_no_exploded_rows_are_sent_to_all_executors(spark, data, name):
 
 def test_little_data_with_folds_is_dealt_to_many_tasks(spark, data):
     assert catalog.QUERIES["pf08_capex_funding"](spark, data).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.fixture
+def counted(monkeypatch):
+    """Rows that go into percentiles, by call."""
+    from lodestrata.operators import sales
+
+    seen, whole = [], sales.quantiles
+
+    def run(rows, *args):
+        seen.append(rows.count())
+        return whole(rows, *args)
+
+    monkeypatch.setattr(sales, "quantiles", run)
+    return seen
+
+
+def _sales(spark, data):
+    from lodestrata.sources import surrogates
+
+    return surrogates.sales(spark, data)
+
+
+@pytest.mark.parametrize("name, times", [("flt08_pricing_trend", 1)])
+def test_percentiles_are_taken_of_what_is_asked_for(spark, data, counted, name, times):
+    catalog.QUERIES[name](spark, data)
+    assert counted == [times * _sales(spark, data).count()]
+
