@@ -40,7 +40,7 @@ _C = ("ds", "occ_score", "rent_score", "mf")
 
 def _signals(spark, d):
     t = src.sales(spark, d)
-    return sc.signals(s.cap_rate_cube(t), s.pricing_cube(t), t, src.properties(spark, d), zscores(spark, d))
+    return sc.signals(*s.market_medians(t), t, src.properties(spark, d), zscores(spark, d))
 
 
 @query("scd15_signals", f"with {_SIG} select market, {_R(('absorption', 'volatility', 'rent', 'occ'))} from sig")
