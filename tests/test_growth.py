@@ -91,7 +91,7 @@ def _sales(spark, data):
     return surrogates.sales(spark, data)
 
 
-@pytest.mark.parametrize("name, times", [("flt08_pricing_trend", 1), ("scd14_rankings", 2), ("scd18_scenario_compare", 2), ("scd13_market_scores", 2), ("scd12_period_scores", 2)])
+@pytest.mark.parametrize("name, times", [("flt08_pricing_trend", 1), ("scd14_rankings", 2), ("scd18_scenario_compare", 2), ("scd13_market_scores", 2), ("scd12_period_scores", 2), ("scd15_signals", 2)])
 def test_percentiles_are_taken_of_what_is_asked_for(spark, data, counted, name, times):
     catalog.QUERIES[name](spark, data)
     assert counted == [times * _sales(spark, data).count()]
